@@ -55,5 +55,12 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS))).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Arrow batches of at most ``rows`` rows, so that a Python worker holds a bounded number of long texts at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
