@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text, by a distributed positional inverted index.
 
-Terms of the index are runs of three words. Postings ``(term, doc_id, pos)`` are kept of all documents for the terms that occur
-in the test passages. Every six-word window of a passage is looked up by its rarest term first; the windows so hit, each at a
-fixed offset between document and passage, are intersected with the postings of their other terms at that offset. What is left
-are exact occurrences of six passage words in order, and their union is the leaked part of the passage.
+Terms of the index are runs of three words. The postings of all documents for the terms that occur in the test passages are
+stored by document, term and position, so the lists of one document lie together and intersecting them needs no shuffle. Every
+six-word window of a passage is looked up by the term that is rarest in the whole corpus; where it stands, the lists of the
+window's other terms, adjusted by their offsets, are intersected with it. What is left are exact occurrences of six passage
+words in order, and their union is the leaked part of the passage.
 
 Defined results
 * a word is a maximal run of letters and digits in any case; all else separates;
@@ -21,7 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.session import materialise
@@ -55,8 +56,11 @@ class Terms:
         return np.where(known, (a[:-2] * self.base + a[1:-1]) * self.base + a[2:], -1)
 
 
+POSTINGS = "doc_id long, terms array<int>, pos array<int>"
+
+
 def index(documents: DataFrame, terms: Terms) -> DataFrame:
-    """Postings ``term, doc_id, pos`` of the block's terms over all documents."""
+    """Postings of the block's terms over all documents, a row a document, in order of position."""
     shared = documents.sparkSession.sparkContext.broadcast(terms)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,44 +72,85 @@ def index(documents: DataFrame, terms: Terms) -> DataFrame:
                 i = np.searchsorted(t.term, k).clip(0, len(t.term) - 1)
                 p = np.flatnonzero((t.term[i] == k) & (k >= 0))
                 if len(p):
-                    docs.append(np.full(len(p), doc))
-                    at.append(p)
-                    num.append(i[p])
-            if docs:
-                yield pd.DataFrame({"term": np.concatenate(num), "doc_id": np.concatenate(docs), "pos": np.concatenate(at)})
+                    docs.append(doc)
+                    at.append(p.astype(np.int32))
+                    num.append(i[p].astype(np.int32))
+            yield pd.DataFrame({"doc_id": docs, "terms": num, "pos": at})
 
     rows = documents.select("doc_id", "text").where("doc_id is not null and text <> ''")
-    return rows.mapInPandas(post, "term int, doc_id long, pos int")
-
-
-def windows_of(spark: SparkSession, items: list[tuple[int, list[str]]], terms: Terms) -> DataFrame:
-    """``item_id, n_words, win, off, term``: the terms of each six-word window of each passage."""
-    rows = []
-    for item, ws in items:
-        num = np.searchsorted(terms.term, terms.keys(ws))
-        for w in range(len(ws) - RUN + 1):
-            rows += [(item, len(ws), w, w + j, int(num[w + j])) for j in range(RUN - TERM + 1)]
-    return spark.createDataFrame(rows, "item_id long, n_words int, win int, off int, term int")
+    return rows.mapInPandas(post, POSTINGS)
+
+
+class Windows:
+    """The six-word windows of a block's passages, by their rarest term."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], terms: Terms, counts: np.ndarray):
+        steps = RUN - TERM + 1
+        item, size, win, rows = [], [], [], []
+        for i, ws in items:
+            num = np.searchsorted(terms.term, terms.keys(ws))
+            k = len(ws) - RUN + 1
+            item.append(np.full(k, i, dtype=np.int64))
+            size.append(np.full(k, len(ws)))
+            win.append(np.arange(k))
+            rows.append(np.stack([num[j : j + k] for j in range(steps)], axis=1))
+        terms_of = np.concatenate(rows)
+        n = counts[terms_of]
+        live = (n > 0).all(axis=1)  # a window one of whose terms is nowhere has no match
+        terms_of, n = terms_of[live], n[live]
+        rarest = n.argmin(axis=1)
+        anchor = terms_of[np.arange(len(n)), rarest]
+        order = np.argsort(anchor, kind="stable")
+        self.terms, self.rarest = terms_of[order].astype(np.int32), rarest[order]
+        self.item, self.size, self.win = (np.concatenate(x)[live][order] for x in (item, size, win))
+        self.start = np.searchsorted(anchor[order], np.arange(len(counts) + 1))
+
+    def intersect(self, where: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of anchors and the windows that stand there; ``where`` ascends over all documents of a batch."""
+        n = self.start[term + 1] - self.start[term]
+        hit = np.repeat(np.arange(len(term)), n)
+        w = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[term], n)
+        for j in range(RUN - TERM + 1):
+            target = where[hit] - self.rarest[w] + j
+            at = np.searchsorted(where, target).clip(0, max(0, len(where) - 1))
+            same = (where[at] == target) & (term[at] == self.terms[w, j])
+            hit, w = hit[same], w[same]
+        return hit, w
 
 
 def block_matches(documents: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
     """``doc_id, item_id, n_words, wins``: the passage windows found in each document."""
-    spark = documents.sparkSession
     terms = Terms([ws for _, ws in items])
     postings = materialise(index(documents, terms), "postings")
-    windows = windows_of(spark, items, terms)
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = windows.join(F.broadcast(df), "term")  # at most one row a term of the block
-    # A window one of whose terms is nowhere has no match.
-    full = ranked.groupBy("item_id", "n_words", "win").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("df", "off", "term")).alias("rarest")).where(F.col("c") == RUN - TERM + 1)
-    anchors = full.select("item_id", "n_words", "win", F.col("rarest.off").alias("off"), F.col("rarest.term").alias("term"))
-    hits = postings.join(F.broadcast(anchors), "term").select("doc_id", "item_id", "n_words", "win", (F.col("pos") - F.col("off")).alias("shift"))
-    hits = hits.where(F.col("shift") + F.col("win") >= 0)
-    # Intersect the offset-adjusted lists of the other terms; a window has each position once.
-    need = hits.join(F.broadcast(windows.select("item_id", "win", "off", "term")), ["item_id", "win"]).withColumn("pos", F.col("shift") + F.col("off"))
-    met = need.join(postings, ["doc_id", "pos", "term"])
-    ok = met.groupBy("doc_id", "item_id", "n_words", "shift", "win").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == RUN - TERM + 1)
-    return ok.groupBy("doc_id", "item_id", "n_words").agg(F.collect_set("win").alias("wins"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(terms.term), dtype=np.int64)
+        for b in batches:
+            for t in b["terms"]:
+                np.add.at(total, t, 1)
+        k = np.flatnonzero(total)
+        yield pd.DataFrame({"term": k, "n": total[k]})
+
+    counts = np.zeros(len(terms.term), dtype=np.int64)
+    for r in postings.select("terms").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.term] = r.n  # at most one row a term of the block
+    shared = documents.sparkSession.sparkContext.broadcast(Windows(items, terms, counts))
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = shared.value
+        for b in batches:
+            n = b["pos"].map(len).to_numpy()
+            if not n.sum():
+                continue
+            last = b["pos"].map(lambda p: int(p[-1])).to_numpy(dtype=np.int64)
+            base = np.cumsum(np.r_[0, last[:-1] + 2 * RUN]) + RUN
+            where = np.concatenate(list(b["pos"])).astype(np.int64) + np.repeat(base, n)
+            doc = np.repeat(b["doc_id"].to_numpy(), n)
+            hit, k = w.intersect(where, np.concatenate(list(b["terms"])))
+            yield pd.DataFrame({"doc_id": doc[hit], "item_id": w.item[k], "n_words": w.size[k], "win": w.win[k]})
+
+    found = postings.mapInPandas(match, "doc_id long, item_id long, n_words int, win int")
+    return found.groupBy("doc_id", "item_id", "n_words").agg(F.collect_set("win").alias("wins"))
 
 
 def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, block: int = BLOCK) -> DataFrame:
