@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import credentials, leakage, mixing, repetition, splitting
+from quarrylight.llm import credentials, handwritten, leakage, mixing, repetition, splitting
 from quarrylight.session import table
 
 
@@ -26,6 +26,15 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_pieces(splitting.distinct_rows(splitting.oversized(table(spark, d, "chunks"))))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judged(table(spark, d, "code_files")).where("reason is not null").select("file_id").distinct()
+
+
+def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Files by reason, the hand-written ones as null."""
+    return handwritten.judged(table(spark, d, "code_files")).groupBy("reason").agg(F.count(F.lit(1)).alias("n_files"), F.sum("tokens").alias("tokens"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -61,6 +70,8 @@ QUERIES = {
     "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_reasons": p3_reasons,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p8_mixture": p8_mixture,
