@@ -421,7 +421,7 @@ def train(seen: DataFrame, sample: int = SAMPLE) -> Model:
         of = seen.where(f"pair < 0 and y = {y}").select("h", "kind", "before", "value", "path", "y")
         # Hashes are even over 0..2^63, so about 2 * sample rows lie below this; no task returns more than its part of them.
         below = min(1.0, 2 * sample / max(1, of.count())) * (2**63 - 1)
-        for r in of.where(F.col("h") <= F.lit(int(below))).orderBy("h", "before", "path").limit(2 * sample).collect():
+        for r in of.where(F.col("h") <= F.lit(min(int(below), 2**63 - 1))).orderBy("h", "before", "path").limit(2 * sample).collect():
             labelled.setdefault(r.h, tuple(r)[1:])
     few = sorted(labelled.items())
     order = np.random.default_rng(7).permutation(len(few))
