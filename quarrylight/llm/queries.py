@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import credentials, handwritten, leakage, mixing, repetition, splitting
+from quarrylight.llm import credentials, handwritten, leakage, mixing, parsing, repetition, splitting
 from quarrylight.session import table
 
 
@@ -35,6 +35,14 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.judged(table(spark, d, "code_files")).groupBy("reason").agg(F.count(F.lit(1)).alias("n_files"), F.sum("tokens").alias("tokens"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parsed(table(spark, d, "code_files"), table(spark, d, "languages")).where("edits > 0").select("file_id")
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.rates(parsing.parsed(table(spark, d, "code_files"), table(spark, d, "languages")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -72,6 +80,8 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_reasons": p3_reasons,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p8_mixture": p8_mixture,
