@@ -36,7 +36,7 @@ def collection_name(path: Column, host: Column) -> Column:
 def json_size(text: Column) -> Column:
     """Bytes of ``text`` as a JSON string with quotes; ``<``, ``>``, ``&`` and control characters take six bytes each."""
     hits = lambda p: F.regexp_count(text, F.lit(p))
-    return F.octet_length(text) + 2 + hits(r"[\"\\\n\r\t\x08\x0c]") + 5 * hits(r"[<>&]|[\x00-\x07\x0b\x0e-\x1f]") + 3 * hits("[  ]")
+    return F.octet_length(text) + 2 + hits(r"[\"\\\n\r\t\x08\x0c]") + 5 * hits(r"[<>&]|[\x00-\x07\x0b\x0e-\x1f]") + 3 * hits("[\u2028\u2029]")
 
 
 def basename(path: Column) -> Column:

@@ -171,7 +171,7 @@ def code_chunks(text: str, ext: str, size: int = SIZE, overlap: int = OVERLAP) -
 
 def _json_bytes(text: str) -> int:
     plain = json.dumps(text, ensure_ascii=False)
-    return len(plain.encode("utf-8", "replace")) + 5 * sum(map(text.count, "<>&")) + 3 * (text.count(" ") + text.count(" "))
+    return len(plain.encode("utf-8", "replace")) + 5 * sum(map(text.count, "<>&")) + 3 * (text.count("\u2028") + text.count("\u2029"))
 
 
 def payload_bytes(rel_path: str, ext: str, root: str, chunk: Chunk) -> int:

@@ -60,6 +60,10 @@ def ranked(top: DataFrame) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
 
 
+def _equals(word: str) -> Callable[[Column], Column]:
+    return lambda x: x == word
+
+
 def bm25(chunks: DataFrame, text: str, k: int | None = None, keep: Column | None = None, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """``id, score[, rank]`` by BM25 of the terms of ``text``.
 
@@ -71,7 +75,7 @@ def bm25(chunks: DataFrame, text: str, k: int | None = None, keep: Column | None
     docs = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("_t"))
     if not words:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    tf = [F.size(F.filter("_t", lambda x, w=w: x == w)).alias(f"_tf{i}") for i, w in enumerate(words)]
+    tf = [F.size(F.filter("_t", _equals(w))).alias(f"_tf{i}") for i, w in enumerate(words)]
     per = docs.select("id", F.size("_t").alias("_dl"), *tf)
     stats = per.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(words))))
     hit = F.lit(False)

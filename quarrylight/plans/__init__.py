@@ -1,5 +1,5 @@
 """Registered queries and their SQL, by area."""
 
-from quarrylight.plans import general
+from quarrylight.plans import general, reference
 
-MODULES = (general,)
+MODULES = (general, reference)
