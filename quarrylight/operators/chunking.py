@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.code import bare_ext, chunk_id
+from quarrylight.session import map_batches
 
 SIZE, OVERLAP, PAYLOAD = 4000, 200, 10_240
 Chunk = tuple[str, int, int]
@@ -228,7 +229,7 @@ def build_chunks(files: DataFrame, root: str | Column, size: int = SIZE, overlap
             yield pd.DataFrame(out, columns=["rel_path", "ext", "content", "start_line", "end_line", "ordinal", "_root"])
 
     rows = files.where("content is not null and rel_path is not null").select("rel_path", "ext", "content", where.alias("_root"))
-    return to_entities(rows.mapInPandas(run, ENTITY + ", _root string"), F.col("_root"))
+    return to_entities(map_batches(rows, run, ENTITY + ", _root string"), F.col("_root"))
 
 
 def to_entities(chunks: DataFrame, root: Column) -> DataFrame:

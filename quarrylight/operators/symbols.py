@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from quarrylight.operators.chunking import _HASH_NOISE, _NOISE, _blank
+from quarrylight.session import map_batches
 
 Symbol = tuple[str, str, int, int]
 _JS = [
@@ -101,7 +102,7 @@ def symbols(files: DataFrame) -> DataFrame:
             )
 
     rows = files.where("content <> '' and rel_path is not null").select("rel_path", "ext", "content")
-    return rows.mapInPandas(run, "rel_path string, name string, kind string, start_line int, end_line int")
+    return map_batches(rows, run, "rel_path string, name string, kind string, start_line int, end_line int")
 
 
 def merge_symbols(first: DataFrame, more: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +64,28 @@ def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: wherever they run, they can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarrylight_sent", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quarrylight-")) / "quarrylight.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, Path("quarrylight") / f.relative_to(here))
+    sc.addPyFile(str(target))
+    sc._quarrylight_sent = True
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInPandas`` with workers that have this package and batches of bounded size."""
+    bounded_batches(df.sparkSession)
+    ship(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

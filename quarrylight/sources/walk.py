@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from quarrylight.session import ship
+
 # Folders never entered.
 SKIPPED = frozenset({"node_modules", "vendor", "__pycache__", ".git", "dist", "build", ".next", "target", "bin", "obj", ".tox", ".venv", "venv", ".codeindex"})
 SNIFF = 512
@@ -224,5 +226,6 @@ class WalkSource(DataSource):
 
 def scan(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
     """Text files below ``root``."""
+    ship(spark)
     spark.dataSource.register(WalkSource)
     return spark.read.format("codewalk").option("root", root).option("ignore", ",".join(ignore)).load()
