@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylight.session import map_batches, materialise
+
 SAMPLE = 5_000
 THRESHOLD = 0.5
 ALPHABET = 97  # printable ASCII, one class for white space and one for the rest
@@ -406,9 +408,7 @@ def survey(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
         k = np.flatnonzero(total)
         yield pd.DataFrame({"pair": k, "n": total[k], "id": "", "line_no": 0, "kind": "", "before": "", "value": "", "path": "", "y": 8, "h": 0})
 
-    from quarrylight.session import materialise
-
-    return materialise(rows.mapInPandas(count, STATS), "credential-survey")
+    return materialise(map_batches(rows, count, STATS), "credential-survey")
 
 
 def train(seen: DataFrame, sample: int = SAMPLE) -> Model:
@@ -453,7 +453,7 @@ def find(chunks: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE)
             b["score"] = shared.value.scores(list(zip(b["kind"], b["before"], b["value"], b["path"], strict=True)))
             yield b.loc[b["score"] >= threshold, FOUND.names]
 
-    judged = seen.where("y = 9").select("id", "line_no", "kind", "before", "value", "path").mapInPandas(judge, FOUND)
+    judged = map_batches(seen.where("y = 9").select("id", "line_no", "kind", "before", "value", "path"), judge, FOUND)
     return judged.groupBy("id", "line_no").agg(F.max(F.struct("score", "kind")).alias("_b")).select("id", "line_no", "_b.kind", "_b.score")
 
 
@@ -473,4 +473,4 @@ def redacted(chunks: DataFrame, threshold: float = THRESHOLD, sample: int = SAMP
                 n.append(len(hits))
             yield pd.DataFrame({"id": b["id"], "rel_path": b["rel_path"], "content": texts, "n_redacted": n})
 
-    return rows.mapInPandas(clean, "id string, rel_path string, content string, n_redacted int")
+    return map_batches(rows, clean, "id string, rel_path string, content string, n_redacted int")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.session import materialise
+from quarrylight.session import map_batches, materialise
 
 RUN = 6
 TERM = 3
@@ -78,7 +78,7 @@ def index(documents: DataFrame, terms: Terms) -> DataFrame:
             yield pd.DataFrame({"doc_id": docs, "terms": num, "pos": at})
 
     rows = documents.select("doc_id", "text").where("doc_id is not null and text <> ''")
-    return rows.mapInPandas(post, POSTINGS)
+    return map_batches(rows, post, POSTINGS)
 
 
 class Windows:
@@ -132,7 +132,7 @@ def block_matches(documents: DataFrame, items: list[tuple[int, list[str]]]) -> D
         yield pd.DataFrame({"term": k, "n": total[k]})
 
     counts = np.zeros(len(terms.term), dtype=np.int64)
-    for r in postings.select("terms").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in map_batches(postings.select("terms"), count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.term] = r.n  # at most one row a term of the block
     shared = documents.sparkSession.sparkContext.broadcast(Windows(items, terms, counts))
 
@@ -149,7 +149,7 @@ def block_matches(documents: DataFrame, items: list[tuple[int, list[str]]]) -> D
             hit, k = w.intersect(where, np.concatenate(list(b["terms"])))
             yield pd.DataFrame({"doc_id": doc[hit], "item_id": w.item[k], "n_words": w.size[k], "win": w.win[k]})
 
-    found = postings.mapInPandas(match, "doc_id long, item_id long, n_words int, win int")
+    found = map_batches(postings, match, "doc_id long, item_id long, n_words int, win int")
     return found.groupBy("doc_id", "item_id", "n_words").agg(F.collect_set("win").alias("wins"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quarrylight.session import materialise
+from quarrylight.session import map_batches, materialise
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BINS = 4096
@@ -53,7 +53,7 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": sizes})
 
     rows = documents.select("doc_id", clean_source(F.col("source")).alias("source"), "text").where("doc_id is not null and source is not null and text <> ''")
-    return rows.mapInPandas(count, "doc_id long, source string, tokens long")
+    return map_batches(rows, count, "doc_id long, source string, tokens long")
 
 
 def fill(available: dict[str, float], share: dict[str, float], cap: dict[str, int], total: float) -> dict[str, float]:

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.session import map_batches
+
 RUN = 6
 SHARE = 0.45
 WIDTH = 12
@@ -228,7 +230,7 @@ def repetition(documents: DataFrame, field: Field | None = None, sample: int = S
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n_words": n, "content_share": share, "checked": checked, "repeated_share": np.where(checked, batch.shares(), np.nan)})
 
     rows = documents.select("doc_id", "text")
-    out = rows.mapInPandas(measure, "doc_id long, n_words long, content_share double, checked boolean, repeated_share double")
+    out = map_batches(rows, measure, "doc_id long, n_words long, content_share double, checked boolean, repeated_share double")
     return out.withColumn("repeated_share", F.when(F.col("checked"), F.col("repeated_share")))
 
 

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.session import map_batches
+
 LIMIT = 10_240
 OVERLAP = 200
 
@@ -113,7 +115,7 @@ def split_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
             yield got
 
     rows = chunks.select(*wanted).where("content is not null")
-    return rows.mapInPandas(cut_all, PIECES)
+    return map_batches(rows, cut_all, PIECES)
 
 
 def distinct_rows(chunks: DataFrame) -> DataFrame:
