@@ -14,7 +14,7 @@ from quarrylight.functions import code
 from quarrylight.operators import chunking, manifest, search, symbols
 from quarrylight.operators.filters import compile_filter
 from quarrylight.operators.snapshot_diff import clean_path, successful_runs
-from quarrylight.session import table
+from quarrylight.session import join_small, table
 from quarrylight.streaming import lifecycle
 
 QUESTION = "restore the lazy token handler"
@@ -40,7 +40,7 @@ _C = """c as (select id, max(file_id) as file_id, max(rel_path) as rel_path, max
 def manifests(spark: SparkSession, d: str, back: int) -> DataFrame:
     """Manifest of the ended run of each root that has ``back`` ended ones after it."""
     ok = successful_runs(table(spark, d, "sync_runs")).where(F.col("k") == F.col("n") - 1 - back).select("run_id", "root")
-    m = table(spark, d, "manifest_snapshots").join(F.broadcast(ok), ["run_id", "root"])  # one run a root
+    m = join_small(table(spark, d, "manifest_snapshots"), ok, ["run_id", "root"], spread=F.col("rel_path"))
     clean = m.select("root", clean_path(F.col("rel_path")).alias("rel_path"), F.lower("hash").alias("hash"), "chunk_count", "size", "mtime_ns")
     return clean.groupBy(*KEY).agg(*(F.max(c).alias(c) for c in ("hash", "chunk_count", "size", "mtime_ns")))
 
@@ -90,7 +90,7 @@ def symbol_kinds(spark, d):
 
 def language_files(spark, d):
     f = files(spark, d).select("file_id", "ext")
-    return f.join(F.broadcast(table(spark, d, "languages")), "ext", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"))  # languages: a fixed list
+    return join_small(f, table(spark, d, "languages"), ["ext"], "left", spread=F.col("file_id")).groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def line_split(spark, d):
