@@ -212,7 +212,7 @@ def candidates(text: str) -> list[tuple[str, str, str, list[tuple[int, int]]]]:
         if not seen:
             line = text[a:b].rstrip("\r")
             if m := BARE.search(line):
-                if len(m[3]) >= 4 and not re.search(r"[()]", m[3]) and free(a + m.start(3), a + m.end(3)):
+                if len(m[3]) >= 4 and not re.search(r"[()]|^[A-Za-z_$][\w$.]*[;,]$", m[3]) and free(a + m.start(3), a + m.end(3)):
                     add("named", m[3], [(a + m.start(3), a + m.end(3))])
             elif COMMENT.search(line) and (m := LOGIN.search(line) or SAID.search(line)) and free(a + m.start(1), a + m.end(1)):
                 add("login" if m.re is LOGIN else "said", m[1], [(a + m.start(1), a + m.end(1))])
@@ -231,6 +231,14 @@ def name_of(before: str) -> str:
     return "password" if re.search(r"identified\s+by\s*[\"'`]?$", before, re.I) else ""
 
 
+def about(name: str) -> bool:
+    """Names something about a secret (a hint, a field, a file), not the secret: such a word follows the one for it."""
+    tail = name
+    for m in NAMED.finditer(name):
+        tail = name[m.end() :]
+    return bool(OTHER.search(tail))
+
+
 def hollow(value: str) -> bool:
     v = value.strip()
     return bool(HOLLOW.match(v)) or len(set(v)) <= 2
@@ -253,7 +261,7 @@ def weak_label(kind: str, before: str, value: str) -> int:
         return 1
     if kind == "generic":
         return int(speaks(_inner(value)))
-    if OTHER.search(name) or wordy(value) or re.fullmatch(r"[\d.,;:]+|\w*<.*>[,;]?", value):
+    if about(name) or wordy(value) or re.fullmatch(r"[\d.,;:]+|\w*<.*>[,;]?", value):
         return 0
     if speaks(_inner(value)):
         return 1
@@ -290,7 +298,7 @@ def features(kind: str, before: str, value: str, path: str, likelihood: float) -
         float(kind == "auth"),
         float(kind == "generic"),
         float(kind in ("login", "auth") or bool(NAMED.search(name))),
-        float(bool(OTHER.search(name))),
+        float(about(name)),
         float(hollow(value)),
         float(bool(STORE.search(value))),
         float(bool(STORE.search(before[-40:]))),
