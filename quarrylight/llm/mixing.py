@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quarrylight.session import map_batches, materialise
+from quarrylight.session import join_small, map_batches, materialise
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BINS = 4096
@@ -108,8 +108,8 @@ def mixture(spark: SparkSession, sized: DataFrame, planned: DataFrame, seed: int
     chosen = chosen.select("source", "max_repeats", F.floor(F.col("planned") / F.col("available")).cast("int").alias("_whole"), (F.col("planned") % F.col("available")).alias("_part"))
     order = F.xxhash64(F.lit(seed), "doc_id")
     docs = sized.withColumn("_h", order).withColumn("_bin", F.pmod(F.shiftrightunsigned("_h", 20), F.lit(BINS)).cast("int"))
-    # One row a source and bin: at most 4096 times the number of listed sources.
-    bins = docs.groupBy("source", "_bin").agg(F.sum("tokens").alias("_in_bin")).join(F.broadcast(chosen), "source")
+    # One row a source and bin: at most 4096 times the number of listed sources, which the plan has seen on the driver.
+    bins = join_small(docs.groupBy("source", "_bin").agg(F.sum("tokens").alias("_in_bin")), chosen, ["source"], spread=F.col("_bin"))
     before = F.sum("_in_bin").over(W.partitionBy("source").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
     state = bins.withColumn("_before", F.coalesce(before, F.lit(0))).select(
         "source", "_bin", "_whole", "max_repeats", F.when(F.col("_before") + F.col("_in_bin") <= F.col("_part"), 1).when(F.col("_before") >= F.col("_part"), 0).otherwise(2).alias("_side"), (F.col("_part") - F.col("_before")).alias("_left")
