@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -58,10 +59,12 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS))).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that a Python worker holds a bounded number of long texts at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bounded_batches(spark: SparkSession, rows: int = 2_000, size: int = 16 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes, so that a Python worker holds few long texts at a time."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if now is None or not 0 < int(re.sub(r"\D", "", now) or 0) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def ship(spark: SparkSession) -> None:
