@@ -5,13 +5,15 @@ Each leg is a plan of its own that ends in a top-k; only ids and scores are rank
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions.code import is_auxiliary, query_terms, terms
+from quarrylight.session import materialise
 
 RRF_K = 60
 DENSE_MAX, LIMIT_DEFAULT, LIMIT_MAX = 100, 10, 20
@@ -67,25 +69,29 @@ def _equals(word: str) -> Callable[[Column], Column]:
 def bm25(chunks: DataFrame, text: str, k: int | None = None, keep: Column | None = None, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """``id, score[, rank]`` by BM25 of the terms of ``text``.
 
-    The corpus statistics are of all chunks that pass the filter. Documents are cut down to the query's terms before anything is
-    exploded, so one row a hit and term is shuffled.
+    The corpus statistics are of all chunks that pass the filter. One pass cuts every text down to the query's terms, observes the
+    statistics and writes the hits; texts are neither shuffled nor read again.
     """
     words = query_terms(text)
     rows = chunks if keep is None else chunks.where(keep)
     docs = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("_t"))
     if not words:
-        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    tf = [F.size(F.filter("_t", _equals(w))).alias(f"_tf{i}") for i, w in enumerate(words)]
-    per = docs.select("id", F.size("_t").alias("_dl"), *tf)
-    stats = per.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(words))))
-    hit = F.lit(False)
-    score = F.lit(0.0)
+        return docs.select("id", F.lit(0.0).alias("score"), *([F.lit(0).alias("rank")] if k is not None else [])).limit(0)
+    asked = docs.select("id", F.size("_t").alias("_dl"), F.filter("_t", lambda x: x.isin(*words)).alias("_q"))
+    per = asked.select("id", "_dl", *(F.size(F.filter("_q", _equals(w))).alias(f"_tf{i}") for i, w in enumerate(words)))
+    seen = Observation()
+    counted = per.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("_dl").alias("length"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
+    hit, score = F.lit(False), F.lit(0.0)
     for i in range(len(words)):
-        t, d = F.col(f"_tf{i}"), F.col(f"_df{i}")
-        hit = hit | (t > 0)
-        idf = F.log(1 + (F.col("_n") - d + 0.5) / (d + 0.5))
-        score = score + idf * t * (BM25_K1 + 1) / (t + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_dl") / F.col("_avg")))
-    scored = per.where(hit).join(F.broadcast(stats)).select("id", F.round(score, 6).alias("score"))  # statistics: one row
+        hit = hit | (F.col(f"_tf{i}") > 0)
+    found = materialise(counted.where(hit), "bm25-hits")
+    stats = seen.get
+    n = stats["n"]
+    mean = stats["length"] / n if n else 1.0
+    for i in range(len(words)):
+        t, df = F.col(f"_tf{i}"), stats[f"df{i}"]
+        score = score + F.lit(math.log(1 + (n - df + 0.5) / (df + 0.5))) * t * (BM25_K1 + 1) / (t + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_dl") / F.lit(mean)))
+    scored = found.select("id", F.round(score, 6).alias("score"))
     return scored if k is None else ranked(scored.orderBy(F.desc("score"), "id").limit(positive("k", k)))
 
 
