@@ -10,7 +10,8 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions.code import status_line, terms
+from quarrylight.config import Settings
+from quarrylight.functions.code import result_text, status_line, terms
 from quarrylight.operators import manifest, search, symbols
 from quarrylight.operators.chunking import OVERLAP, SIZE, build_chunks
 from quarrylight.operators.filters import compile_filter, search_filter
@@ -140,6 +141,19 @@ class Engine:
         near = files.join(F.broadcast(hits.select("rel_path").distinct()), "rel_path", "left_semi")  # hits: at most 20
         return search.stale_hits(search.enclosing_symbols(hits, symbols.symbols(near)), files, self._load("manifest", root, MANIFEST)).orderBy("rank")
 
+    @classmethod
+    def configured(cls, spark: SparkSession, settings: Settings, scorer=None) -> Engine:
+        """An engine by settings; ``scorer`` counts only if they ask for one."""
+        return cls(spark, settings.base, settings.dimension, settings.chunk_size, settings.overlap, settings.splitter, scorer=scorer if settings.rerank == "scorer" else None)
+
+    def search_text(self, path: str, question: str, limit: float | None = None, extensions: list[str] = ()) -> str:
+        """The hits of ``search`` as one text."""
+        hits = self.search(path, question, limit, extensions)
+        shown = hits.select("rank", result_text(*(F.col(c) for c in ("rank", "rel_path", "start_line", "end_line", "ext", "content", "symbol", "symbol_kind", "stale"))).alias("t"))
+        found = "\n\n".join(r.t for r in shown.orderBy("rank").collect())  # at most 20 rows
+        busy = (s := self.state(os.path.realpath(path))) is not None and s.status == "indexing"
+        return ("The index is not complete yet.\n\n" if busy else "") + (found or "Nothing was found.")
+
     def clear(self, path: str) -> None:
         root = os.path.realpath(path)
         self.store.drop(self.collection(root))

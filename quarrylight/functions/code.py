@@ -117,3 +117,12 @@ def status_line(info: str = "") -> Column:
         .when(F.col(p + "status") == "failed", F.concat(F.lit("failed: "), F.coalesce(F.col(p + "error_message"), F.lit(""))))
         .otherwise(F.concat(F.lit("unknown status for "), F.col(p + "path")))
     )
+
+
+def result_text(rank: Column, rel_path: Column, start_line: Column, end_line: Column, ext: Column, content: Column, symbol: Column, kind: Column, stale: Column) -> Column:
+    """A hit as text: where it is, the symbol around it, a note if its file has changed, and the fenced content."""
+    none = F.lit("")
+    head = F.format_string("### %d. %s:%d-%d", rank, rel_path, start_line, end_line)
+    inside = F.when(symbol.isNotNull(), F.concat(F.lit("\nin "), kind, F.lit(" "), symbol)).otherwise(none)
+    note = F.when(stale, "\n(the file has changed since it was indexed)").otherwise(none)
+    return F.concat(head, inside, note, F.lit("\n```"), F.coalesce(ext, none), F.lit("\n"), F.coalesce(content, none), F.lit("\n```"))
