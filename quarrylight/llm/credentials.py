@@ -245,7 +245,11 @@ def hollow(value: str) -> bool:
 
 
 def wordy(value: str) -> bool:
-    """Made of words and names only, as labels, header names, paths and struct tags are."""
+    """Made of words and names only, as labels, header names, paths, struct tags and messages in other scripts are."""
+    if FORMATS.fullmatch(value):
+        return False
+    if sum(ord(c) > 127 for c in value) * 2 > len(value):
+        return True
     value = value.strip("=/:. ,;")
     return bool(re.match(r"\w+:\"", value)) or bool(re.fullmatch(r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)(?:[-_./: ](?:[a-z]+|[A-Z]+|[A-Z][a-z]+))*", value)) or bool(re.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)*\d?", value))
 
@@ -261,7 +265,7 @@ def weak_label(kind: str, before: str, value: str) -> int:
         return 1
     if kind == "generic":
         return int(speaks(_inner(value)))
-    if about(name) or wordy(value) or re.fullmatch(r"[\d.,;:]+|\w*<.*>[,;]?", value):
+    if about(name) or wordy(value) or re.fullmatch(r"[\d.,;:]+|\w*<.*>[,;]?|(?:\[\])?\w*[\[{(]+", value):
         return 0
     if speaks(_inner(value)):
         return 1

@@ -52,6 +52,8 @@ def test_found(text):
         '"integrity": "sha512-PcV+vwjgSFZfrwgH9+7TTtDbG2KGo2jmltvNNYIBJQk89MSd=="',
         'avatarPng = "data:image/png;base64,FQPzetVgWKrGHu/Du8NEN1M8vszLI9yu"',
         "compass_limit = 'heading-17'",
+        '"frozen.token.63": "会段前量根由滤规归话法描体支工游分规过录网快"',
+        "var lazyToken = []byte{",
         'const token = "<your-token-here>"',
     ],
 )
