@@ -2,11 +2,14 @@
 
 A Re-Pair grammar is inferred for every file: pairs of neighbouring symbols that repeat in the file become rules, again and again
 until no pair repeats. All files of a batch advance together, in rounds that replace every locally most frequent pair, so the
-inference is array arithmetic. A rule's name is a hash of what it expands to, the same in every file. Flags:
+inference is array arithmetic. A rule's name is a hash of what it expands to, the same in every file. What repeats only across
+files has no such rule; every file is also cut into blocks at places its content alone decides, so that a copied stretch is cut
+into the same blocks wherever it stands, repeated there or not. Flags:
 
 * rules used over and over around identifiers numbered in a row: output of a generator;
 * literals that no rule can shorten and little else: data saved as code;
-* long rules that repositories share: copies of third-party code;
+* long rules, or else blocks, that repositories share: copies of third-party code. The larger of both shares counts; a stretch
+  copied into another text loses at its ends the block it has not whole, a file of under ``LONG`` tokens is no copy;
 * texts in which almost all lies on very long lines without blanks: minified scripts and styles;
 * what a file says of its origin in a comment line, the directory it is kept in, the name of a lock file, the head of compiled
   output: exact evidence that stands by itself.
@@ -32,6 +35,8 @@ from quarrylight.session import join_small, map_batches, materialise
 
 #: A rule of this many tokens is long enough to compare repositories by.
 LONG = 32
+#: Tokens whose hash decides about a cut between blocks.
+GRAM = 4
 #: Share of a file's tokens under long rules of several repositories from which it counts as a copy.
 SHARED = 0.5
 #: Values of a data dump, literals among what the grammar leaves, share of encoded characters.
@@ -146,6 +151,47 @@ def repair(sym: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sym, doc, size
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits from 64 bits, all of them depending on all."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def blocks(sym: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of at least ``LONG`` symbols that make up the files of so many, as ``(rule, file, length)``.
+
+    A cut is where the hash of the next ``GRAM`` symbols is the least within ``LONG`` on both sides, the first of equal ones.
+    """
+    total = len(sym)
+    if not total:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    cut = np.zeros(total, dtype=bool)
+    cut[head] = True
+    one = mixed(sym.astype(np.int64).view(np.uint64))
+    with np.errstate(over="ignore"):
+        if total >= 2 * LONG + GRAM:
+            gram = one[: total - GRAM + 1].copy()
+            for k in range(1, GRAM):
+                gram = mixed(gram) + one[k : total - GRAM + 1 + k]
+            gram = mixed(gram)
+            least, width = gram, 1
+            while width < LONG:
+                step = min(width, LONG - width)
+                least, width = np.minimum(least[:-step], least[step:]), width + step
+            at = np.arange(LONG, len(gram) - LONG)
+            at = at[(gram[at] < least[at - LONG]) & (gram[at] <= least[at + 1])]
+            cut[at[(doc[at - LONG] == doc[at]) & (doc[at] == doc[at + LONG + GRAM - 1])]] = True
+        start = np.flatnonzero(cut)
+        size = np.diff(np.r_[start, total])
+        place = np.arange(total) - np.repeat(start, size)
+        rule = mixed(np.add.reduceat(mixed(one + mixed(place.astype(np.uint64) + np.uint64(1))), start) + size.astype(np.uint64))
+    whole = size >= LONG
+    return (rule & np.uint64(MASK)).astype(np.int64)[whole], doc[start][whole], size[whole]
+
+
 def serial(names: set[str]) -> int:
     """Identifiers numbered in a row, of the longest such row."""
     numbers = {int(m[1]) for n in names if (m := NUMBERED.match(n))}
@@ -161,19 +207,23 @@ def serial(names: set[str]) -> int:
 
 STATS = (
     "file_id long, root string, tokens long, left_over long, values long, literal_ratio double, encoded double, reuse double, serial int, long_lines double, "
-    "declared boolean, foreign boolean, compiled boolean, lock boolean, long_rules array<struct<rule:long,tokens:int>>"
+    "declared boolean, foreign boolean, compiled boolean, lock boolean, long_rules array<struct<rule:long,tokens:int,block:boolean>>"
 )
 
 
 def inspect(b: pd.DataFrame, symbols: Symbols) -> pd.DataFrame:
     """The statistics of a batch of files."""
-    parts, rows, lengths = [], [], []
+    parts, exact, rows, lengths = [], [], [], []
     for fid, root, path, ext, text in zip(b["file_id"], b["root"], b["rel_path"], b["ext"], b["content"], strict=True):
         path, text = path or "", text or ""
         base = path.rpartition("/")[2]
         kind = (ext or ("." + base.rpartition(".")[2] if "." in base else "")).lstrip(".").lower()
         toks = (SLASH if kind in SLASHED else HASH).findall(text)
         s = np.fromiter(map(symbols.__getitem__, toks), dtype=np.int64, count=len(toks))
+        names = s.copy()
+        for k in np.flatnonzero(s < 0):  # in a block a literal counts as what it is
+            names[k] = xxhash.xxh64_intdigest(toks[k].encode("utf-8", "replace")) & MASK | 1
+        exact.append(names[s != 0])
         s = s[s != 0]
         parts.append(s)
         lengths.append(len(s))
@@ -212,7 +262,9 @@ def inspect(b: pd.DataFrame, symbols: Symbols) -> pd.DataFrame:
         np.add.at(reuse, where[order[first]][often], (uses * size[order[first]])[often])
         for k in np.flatnonzero(size[order[first]] >= LONG):
             o = order[first[k]]
-            long_rules[where[o]].append({"rule": int(left[o]), "tokens": int(size[o]) * int(uses[k])})
+            long_rules[where[o]].append({"rule": int(left[o]), "tokens": int(size[o]) * int(uses[k]), "block": False})
+    for r, d, k in zip(*(x.tolist() for x in blocks(np.concatenate(exact) if exact else sym, doc)), strict=True):
+        long_rules[d].append({"rule": r, "tokens": k, "block": True})
     tokens = np.array(lengths, dtype=np.int64)
     out = pd.DataFrame(rows, columns=["file_id", "root", "serial", "long_lines", "declared", "foreign", "compiled", "lock", "_chars"])
     out["tokens"], out["left_over"], out["values"] = tokens, rest, values
@@ -236,10 +288,10 @@ def grammar_stats(files: DataFrame) -> DataFrame:
 
 
 def shared_tokens(stats: DataFrame) -> DataFrame:
-    """``file_id, shared``: tokens under long rules that more than one repository has."""
-    rules = stats.where("size(long_rules) > 0").select("file_id", "root", F.explode("long_rules").alias("r")).select("file_id", "root", "r.rule", "r.tokens")
+    """``file_id, shared``: tokens under long rules, or in blocks if those are more, that more than one repository has."""
+    rules = stats.where("size(long_rules) > 0").select("file_id", "root", F.explode("long_rules").alias("r")).select("file_id", "root", "r.rule", "r.tokens", "r.block")
     several = rules.groupBy("rule", "root").agg(F.lit(1).alias("one")).groupBy("rule").agg(F.count("one").alias("roots")).where("roots > 1").select("rule")
-    return join_small(rules, several, ["rule"], spread=F.col("file_id")).groupBy("file_id").agg(F.sum("tokens").alias("shared"))
+    return join_small(rules, several, ["rule"], spread=F.col("file_id")).groupBy("file_id", "block").agg(F.sum("tokens").alias("shared")).groupBy("file_id").agg(F.max("shared").alias("shared"))
 
 
 def judged(files: DataFrame) -> DataFrame:

@@ -77,3 +77,37 @@ def test_nulls_empty_and_repeats(spark):
     df = spark.createDataFrame([(1, None, None, None, GETTERS, "", 1, 1), (1, None, None, None, GETTERS, "", 1, 1), (2, "r", "a.go", ".go", None, "", 1, 1), (3, "r", "a.go", ".go", "", "", 1, 1), (None, "r", "a.go", ".go", GETTERS, "", 1, 1)], FILES)
     assert [(r.file_id, r.reason) for r in h.judged(df).collect()] == [(1, "generated")]
     assert h.judged(spark.createDataFrame([], FILES)).count() == 0
+
+
+def lone(seed: int, n: int = 120) -> str:
+    """A body of which no stretch of two tokens comes twice, with a literal no rule can hold."""
+    rnd = np.random.default_rng(seed)
+    return "".join(f"w{''.join(map(chr, rnd.integers(97, 123, 9)))} " for _ in range(n)) + f'"{seed}aB3xZ9qL0pK"\n'
+
+
+def test_copies_that_repeat_nothing_within_themselves(spark):
+    body = lone(1)
+    assert reason(spark, ("r1", "a.go", ".go", body), ("r2", "b.go", ".go", body), ("r2", "c.go", ".go", lone(2))) == ["shared by repositories"] * 2 + [None]
+    assert reason(spark, ("r1", "a.go", ".go", body), ("r1", "b.go", ".go", body)) == [None, None]
+    changed = lone(3, 20) + lone(1, 900) + lone(4, 20)
+    assert reason(spark, ("r1", "a.go", ".go", changed), ("r2", "b.go", ".go", lone(1, 900))) == ["shared by repositories"] * 2
+    assert reason(spark, ("r1", "a.go", ".go", body + lone(5, 900)), ("r2", "b.go", ".go", body + lone(6, 900))) == [None, None]
+
+
+def test_literals_of_one_length_are_no_copies(spark):
+    one, two = ("".join(f'"{a}{i}aB3xZ9qL0pK{i}"\n' for i in range(10, 50)) for a in "ab")
+    assert reason(spark, ("r1", "a.go", ".go", one), ("r2", "b.go", ".go", two)) == [None, None]
+
+
+def test_blocks_make_up_files_and_move_with_their_content():
+    rnd = np.random.default_rng(3)
+    sizes = [0, 5, h.LONG - 1, h.LONG, 70, 500, 3_000]
+    a = rnd.integers(1, 1 << 40, sum(sizes))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    rule, where, size = h.blocks(a, doc)
+    assert (size >= h.LONG).all()
+    assert np.bincount(where, weights=size, minlength=len(sizes)).tolist() == [n if n >= h.LONG else 0 for n in sizes]
+    assert len(rule) > 25 and len(set(rule.tolist())) == len(rule)
+    moved = h.blocks(np.r_[rnd.integers(1, 1 << 40, 17), a[doc == 6]], np.zeros(3_017, dtype=np.int64))[0]
+    assert len(set(moved.tolist()) & set(rule[where == 6].tolist())) >= (where == 6).sum() - 1
+    assert [len(x) for x in h.blocks(a[:0], doc[:0])] == [0, 0, 0]
