@@ -42,8 +42,8 @@ def diff_by_hash(new: DataFrame, old: DataFrame, key: list[str] = KEY) -> DataFr
     return snapshot_diff(old, new, key)
 
 
-def change_counts(changes: DataFrame) -> DataFrame:
-    return changes.agg(*(F.count_if(F.col("change_type") == t).alias(t.lower()) for t in (ADDED, MODIFIED, DELETED)))
+def change_counts(changes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return changes.groupBy(*by).agg(*(F.count_if(F.col("change_type") == t).alias(t.lower()) for t in (ADDED, MODIFIED, DELETED)))
 
 
 def files_to_process(files: DataFrame, changes: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -54,9 +54,9 @@ def removed_paths(changes: DataFrame, key: list[str] = KEY) -> DataFrame:
     return changes.where(F.col("change_type").isin(DELETED, MODIFIED)).select(*key)
 
 
-def removed_chunks(old: DataFrame, changes: DataFrame, key: list[str] = KEY) -> DataFrame:
+def removed_chunks(old: DataFrame, changes: DataFrame, key: list[str] = KEY, by: tuple[str, ...] = ()) -> DataFrame:
     """Number of chunks of files that were deleted or modified; unknown paths count 0."""
-    return removed_paths(changes, key).join(old.select(*key, "chunk_count"), key, "left").agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).cast("long").alias("removed_chunks"))
+    return removed_paths(changes, key).join(old.select(*key, "chunk_count"), key, "left").groupBy(*by).agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).cast("long").alias("removed_chunks"))
 
 
 def progress_manifest(new: DataFrame, changes: DataFrame, key: list[str] = KEY) -> DataFrame:

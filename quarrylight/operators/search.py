@@ -155,12 +155,12 @@ def enclosing_symbols(hits: DataFrame, symbols: DataFrame) -> DataFrame:
     return hits.join(best.select("id", F.col("_b.name").alias("symbol"), F.col("_b.kind").alias("symbol_kind")), "id", "left")
 
 
-def stale_hits(hits: DataFrame, files: DataFrame, manifest: DataFrame) -> DataFrame:
+def stale_hits(hits: DataFrame, files: DataFrame, manifest: DataFrame, key: tuple[str, ...] = ("rel_path",)) -> DataFrame:
     """Hits with ``stale``: their file is gone or no longer as the manifest has it."""
-    now = files.select("rel_path", F.col("size").alias("_s"), F.col("mtime_ns").alias("_m"))
-    old = manifest.select("rel_path", "size", "mtime_ns")
-    same = now.join(old, "rel_path").where("_s = size and _m = mtime_ns").select("rel_path", F.lit(False).alias("_fresh"))
-    return hits.join(same.distinct(), "rel_path", "left").withColumn("stale", F.coalesce("_fresh", F.lit(True))).drop("_fresh")
+    now = files.select(*key, F.col("size").alias("_s"), F.col("mtime_ns").alias("_m"))
+    old = manifest.select(*key, "size", "mtime_ns")
+    same = now.join(old, list(key)).where("_s = size and _m = mtime_ns").select(*key, F.lit(False).alias("_fresh"))
+    return hits.join(same.distinct(), list(key), "left").withColumn("stale", F.coalesce("_fresh", F.lit(True))).drop("_fresh")
 
 
 def nearest_ancestor(paths: DataFrame, states: DataFrame) -> DataFrame:

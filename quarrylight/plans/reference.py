@@ -1,7 +1,7 @@
 """Queries over the engine's own operators and their SQL.
 
-Files are ``code_files`` (a row a file), stored chunks ``chunks``, manifests the two last ended runs of each root, vectors
-``embeddings`` (``vec_id`` stands for the chunk of that number in order of ids), lifecycle events ``events``.
+Files are ``code_files`` (a row a file), stored chunks ``chunks``, manifests the two last ended runs of each root (queries named
+``*_history``: all pairs of consecutive ended runs, by the later one), vectors ``embeddings`` (``vec_id`` stands for the chunk of that number in order of ids), lifecycle events ``events``.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from quarrylight.streaming import lifecycle
 
 QUESTION = "restore the lazy token handler"
 KEY = ["root", "rel_path"]
+RUN = ["root", "run_id"]
+EACH = [*RUN, "rel_path"]
 PAIR = ["abs_path"]
 
 
@@ -45,6 +47,17 @@ def manifests(spark: SparkSession, d: str, back: int) -> DataFrame:
     return clean.groupBy(*KEY).agg(*(F.max(c).alias(c) for c in ("hash", "chunk_count", "size", "mtime_ns")))
 
 
+def history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both manifests of every pair of consecutive ended runs of a root, under the ``run_id`` of the later one, and the pairs."""
+    ended = successful_runs(table(spark, d, "sync_runs")).withColumn("later", F.lead("run_id").over(W.partitionBy("root").orderBy("k")))
+    m = join_small(table(spark, d, "manifest_snapshots"), ended.select(*RUN, "k", "later"), RUN, spread=F.col("rel_path"))
+    clean = m.select(*RUN, "k", "later", clean_path(F.col("rel_path")).alias("rel_path"), F.lower("hash").alias("hash"), "chunk_count", "size", "mtime_ns")
+    each = clean.groupBy(*EACH).agg(*(F.max(c).alias(c) for c in ("hash", "chunk_count", "size", "mtime_ns", "k", "later")))
+    new = each.where("k > 0").drop("k", "later")
+    old = each.where("later is not null").withColumn("run_id", F.col("later")).drop("k", "later")
+    return new, old, ended.where("k > 0").select(*RUN)
+
+
 _M = """ok as (select run_id, root, row_number() over (partition by root order by started_at desc, run_id desc) as back
   from (select distinct run_id, root, started_at from sync_runs where status = 'indexed')),
 m as (select o.back, s.root, regexp_replace(s.rel_path, '^(\\./)+', '') as rel_path, max(lower(s.hash)) as hash, max(s.chunk_count) as chunk_count,
@@ -141,6 +154,54 @@ def needs_hash(spark, d):
     return manifest.needs_hash(manifests(spark, d, 0), manifests(spark, d, 1), KEY).select(*KEY)
 
 
+def manifest_diff_history(spark, d):
+    new, old, _ = history(spark, d)
+    return manifest.diff(new, old, EACH)
+
+
+def manifest_diff_by_hash_history(spark, d):
+    new, old, _ = history(spark, d)
+    return manifest.diff_by_hash(new, old, EACH)
+
+
+def change_counts_history(spark, d):
+    new, old, pairs = history(spark, d)
+    return pairs.join(manifest.change_counts(manifest.diff(new, old, EACH), RUN), RUN, "left").fillna(0, ["added", "modified", "deleted"])
+
+
+def files_to_process_history(spark, d):
+    new, old, _ = history(spark, d)
+    return manifest.files_to_process(new, manifest.diff(new, old, EACH), EACH).select(*EACH, "hash", "size")
+
+
+def removed_chunks_history(spark, d):
+    new, old, pairs = history(spark, d)
+    return pairs.join(manifest.removed_chunks(old, manifest.diff(new, old, EACH), EACH, RUN), RUN, "left").fillna(0, ["removed_chunks"])
+
+
+def progress_manifest_history(spark, d):
+    new, old, _ = history(spark, d)
+    return manifest.progress_manifest(new, manifest.diff(new, old, EACH), EACH).select(*EACH, "hash", "chunk_count")
+
+
+def new_total_history(spark, d):
+    new, old, pairs = history(spark, d)
+    changes = manifest.diff(new, old, EACH)
+    sums = lambda df, name: df.groupBy(*RUN).agg(F.sum("chunk_count").cast("long").alias(name))
+    every = pairs.join(sums(old, "existing"), RUN, "left").join(manifest.removed_chunks(old, changes, EACH, RUN), RUN, "left").join(sums(manifest.files_to_process(new, changes, EACH), "added"), RUN, "left")
+    return every.fillna(0, ["existing", "removed_chunks", "added"]).select(*RUN, manifest.new_total(F.col("existing"), F.col("removed_chunks"), F.col("added")).alias("total"))
+
+
+def needs_hash_history(spark, d):
+    new, old, _ = history(spark, d)
+    return manifest.needs_hash(new, old, EACH).select(*EACH)
+
+
+def stale_results_history(spark, d):
+    new, old, _ = history(spark, d)
+    return search.stale_hits(old.select(*EACH), new, old, tuple(EACH)).select(*EACH, "stale")
+
+
 def chunk_counts(spark, d):
     return manifest.chunk_counts(chunks(spark, d))
 
@@ -295,7 +356,8 @@ QUERIES = {
         entity_project, payload_bytes, aux_flag, effective_ext, collections, symbol_kinds, language_files, line_split, fixed_window_chunks, manifest_diff, manifest_diff_by_hash,
         change_counts, files_to_process, removed_chunks, progress_manifest, new_total, needs_hash, chunk_counts, file_chunk_ids, completed_files, stale_ids, chunk_count_update, hydrate,
         dense_topk, dense_filtered, bm25_topk, bm25_all, rrf_fuse, hybrid_search, hybrid_aux_demote, symbol_enclosing, file_symbols, stale_results, nearest_ancestor, latest_state, latest_run,
-        status_lines, payload_resplit, event_lifecycle, progress_throttle, notifications, event_windows,
+        status_lines, payload_resplit, event_lifecycle, progress_throttle, notifications, event_windows, manifest_diff_history, manifest_diff_by_hash_history, change_counts_history,
+        files_to_process_history, removed_chunks_history, progress_manifest_history, new_total_history, needs_hash_history, stale_results_history,
     )
 } | {k: _filtered(v[0]) for k, v in FILTERS.items()} | {"text_chunker": _chunked("text"), "code_chunker": _chunked("ast")}
 
