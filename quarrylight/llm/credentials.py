@@ -91,7 +91,7 @@ def classes(text: str) -> np.ndarray:
 
 
 def _inner(value: str) -> str | None:
-    """What a base64 text holds, if its start is printable."""
+    """All that a base64 text holds, a character a byte, if its start is printable."""
     if len(value) < 12 or not re.fullmatch(r"[A-Za-z0-9+/_\-]+={0,2}", value):
         return None
     plain = value.replace("-", "+").replace("_", "/").rstrip("=")
@@ -99,13 +99,12 @@ def _inner(value: str) -> str | None:
         raw = base64.b64decode(plain + "=" * (-len(plain) % 4))
     except (binascii.Error, ValueError):
         return None
-    head = re.match(rb"[\x20-\x7e]{8,}", raw)
-    return head[0].decode() if head else None
+    return raw.decode("latin-1") if re.match(rb"(?:\xef\xbb\xbf)?[\x20-\x7e\t\r\n]{8}", raw) else None
 
 
 def speaks(inner: str | None) -> bool:
-    """A decoded text that is an issued token, a URL with a login or ``user:password``."""
-    return bool(inner) and bool(FORMATS.search(inner) or URL.search(inner) or re.fullmatch(r"[A-Za-z][\w.\-]{2,}:[^\s:]{6,}", inner))
+    """A decoded text that holds an issued token, a URL with a login, a private key or a line ``user:password``."""
+    return bool(inner) and bool(FORMATS.search(inner) or URL.search(inner) or PEM.search(inner) or any(re.fullmatch(r"[A-Za-z][\w.\-]{2,}:[^\s:]{6,}", x, re.A) for x in re.split(r"[^\x20-\x7e]+", inner)))
 
 
 def _line(text: str, at: int) -> tuple[int, int]:

@@ -1,3 +1,4 @@
+import base64
 import random
 import string
 
@@ -108,3 +109,17 @@ def test_nulls_empty_and_long(spark):
     assert sorted((r.id, r.line_no) for r in c.find(df).collect()) == [("l", 200_001), ("p", 1)]
     assert {r.id: r.n_redacted for r in c.redacted(df).collect()} == {"p": 1, "l": 1}
     assert c.find(spark.createDataFrame([], CHUNKS)).count() == 0
+
+
+ENCODED = ["x" * 3 + f"\n{PEM}\n", "# settings of the service\nhost = db.example\nurl = postgres://svc:Xk29sLq1@db.example/x\n", "first line of several\r\nsvc_reader:Opal9cinder7\r\n", "region = north\ntoken = ghp_" + "aB3" * 12]
+
+
+@pytest.mark.parametrize("text", ENCODED)
+def test_encoded_texts_are_read_whole(text):
+    value = base64.b64encode(text.encode()).decode()
+    assert lines(f'x\nblob = "{value}"') == [2]
+
+
+@pytest.mark.parametrize("text", ["first line of several\nand nothing else here\n", "-----BEGIN PUBLIC KEY-----\nAb3/Ab3/Ab3/\n-----END PUBLIC KEY-----"])
+def test_encoded_texts_without_credentials(text):
+    assert lines(f'blob = "{base64.b64encode(text.encode()).decode()}"') == []
