@@ -11,7 +11,7 @@ smallest hash. The collected counts are bounded by the alphabet (97 x 97 classes
 
 Defined results
 * a null content or id gives no row, an empty content none; a null path counts as a path of no known kind;
-* repeated rows give one result row; texts of any length are read whole;
+* repeated rows give one result row; texts and values of any length are read whole;
 * an empty table, or one without labelled candidates of both kinds, is judged by the weak labels alone;
 * extra columns are ignored.
 """
@@ -34,6 +34,8 @@ from quarrylight.session import map_batches, materialise
 
 SAMPLE = 5_000
 THRESHOLD = 0.5
+#: A candidate with a longer value goes on as what the score needs of all of it, see ``measured``; a shorter one as it is.
+CARRIED = 4_096
 ALPHABET = 97  # printable ASCII, one class for white space and one for the rest
 
 # Public formats of issued tokens.
@@ -314,12 +316,35 @@ def features(kind: str, before: str, value: str, path: str, likelihood: float) -
     ]
 
 
+FEATURES = len(features("", "", "", "", 0.0))
+
+
 def likelihood(value: str, logp: np.ndarray) -> float:
     """Mean log probability of the value's characters, each given the one before."""
-    c = classes(value[:4096])
+    c = classes(value)
     return float(logp[c[:-1], c[1:]].mean()) if len(c) > 1 else float(logp.mean())
 
 
+def measured(kind: str, before: str, value: str, path: str) -> list[float] | None:
+    """Of a long value its weak label, its features without the likelihood, and its character pairs with their counts."""
+    if len(value) <= CARRIED:
+        return None
+    c = classes(value)
+    n = np.bincount(c[:-1].astype(np.int32) * ALPHABET + c[1:], minlength=ALPHABET * ALPHABET)
+    k = np.flatnonzero(n)
+    return [float(weak_label(kind, before, value)), *features(kind, before, value, path, 0.0), *k.tolist(), *n[k].tolist()]
+
+
+def vector(kind: str, before: str, value: str, path: str, logp: np.ndarray, whole: list[float] | None = None) -> list[float]:
+    """Features of a candidate, by its value or by what was ``measured`` of it."""
+    if whole is None:
+        return features(kind, before, value, path, likelihood(value, logp))
+    x = list(whole[1 : FEATURES + 1])
+    k, n = np.asarray(whole[FEATURES + 1 :], dtype=float).reshape(2, -1)
+    x[1] = float((n * logp.ravel()[k.astype(int)]).sum() / n.sum())
+    return x
+
+
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 50, l2: float = 1e-3) -> np.ndarray:
     """Logistic regression by Newton's method; both labels weigh the same."""
     w = np.zeros(x.shape[1])
@@ -338,14 +363,15 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 50, l2: float = 1e-3) -> np.n
 class Model:
     """Markov table, weights and calibration; a few hundred kB, the same for every input size."""
 
-    def __init__(self, counts: np.ndarray, rows: list[tuple[str, str, str, str, int]]):
+    def __init__(self, counts: np.ndarray, rows: list[tuple]):
+        """``rows``: ``(kind, before, value, path, y)``, for a long value with what was ``measured`` of it."""
         c = counts + 0.5
         self.logp = np.log(c / c.sum(axis=1, keepdims=True))
         self.w = self.mean = self.scale = None
         self.cal = (1.0, 0.0)
         y = np.array([r[4] for r in rows], dtype=float)
         if len(rows) >= 20 and 0 < y.sum() < len(y):
-            x = np.array([features(k, b, v, p, likelihood(v, self.logp)) for k, b, v, p, _ in rows])
+            x = np.array([vector(k, b, v, p, self.logp, *whole) for k, b, v, p, _, *whole in rows])
             self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
             self.mean[0], self.scale[0] = 0.0, 1.0
             x = (x - self.mean) / self.scale
@@ -357,13 +383,13 @@ class Model:
                 a, b = fit(np.c_[x[held] @ self.w, np.ones(held.sum())], y[held], l2=1e-3)
                 self.cal = (float(a), float(b))
 
-    def scores(self, rows: list[tuple[str, str, str, str]]) -> np.ndarray:
-        """Calibrated probabilities of ``(kind, before, value, path)``."""
+    def scores(self, rows: list[tuple]) -> np.ndarray:
+        """Calibrated probabilities of ``(kind, before, value, path)``, for a long value with what was ``measured`` of it."""
         if not rows:
             return np.zeros(0)
         if self.w is None:
-            return np.array([float(weak_label(k, b, v) == 1) for k, b, v, _ in rows])
-        x = (np.array([features(k, b, v, p, likelihood(v, self.logp)) for k, b, v, p in rows]) - self.mean) / self.scale
+            return np.array([float((weak_label(k, b, v) if not whole or whole[0] is None else whole[0][0]) == 1) for k, b, v, _, *whole in rows])
+        x = (np.array([vector(k, b, v, p, self.logp, *whole) for k, b, v, p, *whole in rows]) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(self.cal[0] * (x @ self.w) + self.cal[1], -30, 30)))
 
 
@@ -384,7 +410,7 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-STATS = "pair long, n long, id string, line_no int, kind string, before string, value string, path string, y int, h long"
+STATS = "pair long, n long, id string, line_no int, kind string, before string, value string, path string, y int, h long, whole array<double>"
 
 
 def survey(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -407,9 +433,9 @@ def survey(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     y = weak_label(kind, before, value)
                     if y >= 0:
                         h = xxhash.xxh64_intdigest(f"{kind}|{name_of(before)}|{value}".encode("utf-8", "replace")) >> 1
-                        kept[y][h] = (-1, 0, "", 0, kind, before, value[:4096], path or "", y, h)
+                        kept[y][h] = (-1, 0, "", 0, kind, before, value if len(value) <= CARRIED else "", path or "", y, h, measured(kind, before, value, path or ""))
                     if y != 0:
-                        found.append((-1, 0, key, text.count("\n", 0, spans[0][0]) + 1, kind, before, value[:4096], path or "", 9, 0))
+                        found.append((-1, 0, key, text.count("\n", 0, spans[0][0]) + 1, kind, before, value if len(value) <= CARRIED else "", path or "", 9, 0, measured(kind, before, value, path or "")))
             for y in (0, 1):
                 if len(kept[y]) > 2 * sample:
                     for h in sorted(kept[y])[sample:]:
@@ -417,7 +443,7 @@ def survey(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pd.DataFrame(found, columns=COLUMNS)
         yield pd.DataFrame([kept[y][h] for y in (0, 1) for h in sorted(kept[y])[:sample]], columns=COLUMNS)
         k = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": k, "n": total[k], "id": "", "line_no": 0, "kind": "", "before": "", "value": "", "path": "", "y": 8, "h": 0})
+        yield pd.DataFrame({"pair": k, "n": total[k], "id": "", "line_no": 0, "kind": "", "before": "", "value": "", "path": "", "y": 8, "h": 0, "whole": None})
 
     return materialise(map_batches(rows, count, STATS), "credential-survey")
 
@@ -429,7 +455,7 @@ def train(seen: DataFrame, sample: int = SAMPLE) -> Model:
         counts[r.pair] = r.n
     labelled = {}
     for y in (0, 1):
-        of = seen.where(f"pair < 0 and y = {y}").select("h", "kind", "before", "value", "path", "y")
+        of = seen.where(f"pair < 0 and y = {y}").select("h", "kind", "before", "value", "path", "y", "whole")
         # Hashes are even over 0..2^63, so about 2 * sample rows lie below this; no task returns more than its part of them.
         below = min(1.0, 2 * sample / max(1, of.count())) * (2**63 - 1)
         for r in of.where(F.col("h") <= F.lit(min(int(below), 2**63 - 1))).orderBy("h", "before", "path").limit(2 * sample).collect():
@@ -439,7 +465,7 @@ def train(seen: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(counts.reshape(ALPHABET, ALPHABET), [few[i][1] for i in order])
 
 
-COLUMNS = ["pair", "n", "id", "line_no", "kind", "before", "value", "path", "y", "h"]
+COLUMNS = ["pair", "n", "id", "line_no", "kind", "before", "value", "path", "y", "h", "whole"]
 FOUND = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -461,10 +487,10 @@ def find(chunks: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["score"] = shared.value.scores(list(zip(b["kind"], b["before"], b["value"], b["path"], strict=True)))
+            b["score"] = shared.value.scores(list(zip(b["kind"], b["before"], b["value"], b["path"], b["whole"], strict=True)))
             yield b.loc[b["score"] >= threshold, FOUND.names]
 
-    judged = map_batches(seen.where("y = 9").select("id", "line_no", "kind", "before", "value", "path"), judge, FOUND)
+    judged = map_batches(seen.where("y = 9").select("id", "line_no", "kind", "before", "value", "path", "whole"), judge, FOUND)
     return judged.groupBy("id", "line_no").agg(F.max(F.struct("score", "kind")).alias("_b")).select("id", "line_no", "_b.kind", "_b.score")
 
 

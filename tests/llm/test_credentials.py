@@ -123,3 +123,21 @@ def test_encoded_texts_are_read_whole(text):
 @pytest.mark.parametrize("text", ["first line of several\nand nothing else here\n", "-----BEGIN PUBLIC KEY-----\nAb3/Ab3/Ab3/\n-----END PUBLIC KEY-----"])
 def test_encoded_texts_without_credentials(text):
     assert lines(f'blob = "{base64.b64encode(text.encode()).decode()}"') == []
+
+
+def test_long_values_are_judged_whole_by_both_queries(spark):
+    long = "Q7" * 2_100 + "plain" * 3_000
+    logp = np.log(np.random.default_rng(2).random((c.ALPHABET, c.ALPHABET)))
+    one = c.vector("named", 'password = "', long, "a.py", logp)
+    assert np.allclose(one, c.vector("named", 'password = "', "", "a.py", logp, c.measured("named", 'password = "', long, "a.py")))
+    assert one[3] == pytest.approx(2_100 / len(long)) and one[1] != pytest.approx(c.likelihood(long[:4096], logp))
+    rows, truth = planted()
+    rows += [("long", "src/long.py", f'x = 1\npassword = "{long}"', 1, 2, 0.5, "x"), ("pem", "src/k.py", 'key = """' + PEM.replace("Zx9+" * 16, ("Zx9+" * 16 + "\n") * 100) + '"""', 1, 2, 0.5, "x")]
+    df = spark.createDataFrame(rows, CHUNKS)
+    seen = c.survey(c.usable(df)).where("y <> 8 and length(value) = 0").collect()
+    assert {r.id for r in seen if r.y == 9} == {"long", "pem"}
+    found = {}
+    for r in c.find(df).collect():
+        found[r.id] = found.get(r.id, 0) + 1
+    assert found == {r.id: r.n_redacted for r in c.redacted(df).collect() if r.n_redacted}
+    assert found["pem"] == 1 and {k for k in found if k[0] == "c"} == {k for k, _ in truth}
