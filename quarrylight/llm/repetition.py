@@ -2,7 +2,8 @@
 
 Each text is cut into lines (of at most ``WIDTH`` words); a linear-chain conditional random field labels each line as content or
 boilerplate by Viterbi decoding, and the share of words on content lines decides which documents may be too repetitive. For
-those the exact share follows: the words that lie in runs of six or more that occurred earlier in the same text.
+those, and for all that could reach the share asked for by the words of their weak labels, the exact share follows: the words
+that lie in runs of six or more that occurred earlier in the same text. What the field labels can so add candidates but lose none.
 
 The field is trained on the lines of a sample of documents bounded by ``sample`` (those of the smallest hash of their text);
 what a line is labelled with there is weak: boilerplate if a quarter or more of its words are already said.
@@ -31,15 +32,20 @@ RUN = 6
 SHARE = 0.45
 WIDTH = 12
 SAMPLE = 2_000
-#: Documents whose content share is at most this are checked exactly; at the weak label's quarter a document of share 0.45
-#: has at least 0.26 of its words on boilerplate lines, so 0.8 leaves room for lines that the field labels otherwise.
+#: Documents whose content share is at most this are checked exactly.
 CONTENT = 0.8
+#: Share of a line's words already said from which it is weakly labelled boilerplate. See ``least_weak``.
 WEAK = 0.25
 WORD = re.compile(r"[^\W\d_]+")
 #: Feature classes of a line: share of its words said before in runs of six, in runs of three, seen as a whole, length, place.
 SHAPES = (6, 4, 2, 3, 3)
 
 
+def least_weak(share: float) -> float:
+    """Least share of words on weakly labelled lines ``w`` of a document of which ``share`` is said: at most ``w + WEAK * (1 - w)`` is."""
+    return (share - WEAK) / (1 - WEAK) - 1e-9
+
+
 class Batch:
     """The words of many texts in one array, with the ends of texts and lines."""
 
@@ -212,11 +218,11 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Field:
     return Field().fit(doc, code, y)
 
 
-def repetition(documents: DataFrame, field: Field | None = None, sample: int = SAMPLE, content: float = CONTENT) -> DataFrame:
+def repetition(documents: DataFrame, field: Field | None = None, sample: int = SAMPLE, content: float = CONTENT, share: float = SHARE) -> DataFrame:
     """``doc_id, n_words, content_share, checked, repeated_share`` of every document.
 
-    ``content_share`` is what the field labels as content; ``repeated_share`` is exact, and null where the field leaves no doubt
-    that it is low.
+    ``content_share`` is what the field labels as content; ``repeated_share`` is exact, and null where that is over ``content``
+    and the exact share is surely below ``share``.
     """
     model = documents.sparkSession.sparkContext.broadcast(field or train(documents, sample))
 
@@ -224,13 +230,14 @@ def repetition(documents: DataFrame, field: Field | None = None, sample: int = S
         for b in batches:
             texts = [t or "" for t in b["text"]]
             batch = Batch(texts)
-            doc, size, code, _ = batch.lines()
+            doc, size, code, weak = batch.lines()
             y = model.value.decode(doc, code)
             n = np.diff(np.r_[0, batch.end])
             kept = np.bincount(doc, weights=size * (y == 0), minlength=len(texts))
-            share = np.where(n > 0, kept / np.maximum(1, n), 1.0)
-            checked = share <= content
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n_words": n, "content_share": share, "checked": checked, "repeated_share": np.where(checked, batch.shares(), np.nan)})
+            content_share = np.where(n > 0, kept / np.maximum(1, n), 1.0)
+            may = np.bincount(doc, weights=size * weak, minlength=len(texts)) >= least_weak(share) * n
+            checked = (content_share <= content) | may & (n > 0)
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n_words": n, "content_share": content_share, "checked": checked, "repeated_share": np.where(checked, batch.shares(), np.nan)})
 
     rows = documents.select("doc_id", "text")
     out = map_batches(rows, measure, "doc_id long, n_words long, content_share double, checked boolean, repeated_share double")
@@ -239,4 +246,4 @@ def repetition(documents: DataFrame, field: Field | None = None, sample: int = S
 
 def repetitive(documents: DataFrame, share: float = SHARE, **options) -> DataFrame:
     """``repetition`` of the documents of which at least ``share`` is already said."""
-    return repetition(documents, **options).where(F.col("checked") & (F.col("repeated_share") >= share))
+    return repetition(documents, share=share, **options).where(F.col("checked") & (F.col("repeated_share") >= share))

@@ -156,3 +156,12 @@ def test_empty_mixture(spark):
     assert mixing.mixture(spark, sized, plan).count() == 0
     assert [tuple(r) for r in mixing.report(mixing.mixture(spark, sized, plan), plan).collect()] == [("a", 1.0, 0.0, 0, 0, 1, 0)]
     assert mixing.report(mixing.mixture(spark, sized, mixing.plan(spark, sized, targets.limit(0))), mixing.plan(spark, sized, targets.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.2, 0.45, 0.7])
+def test_no_field_loses_a_repetitive_document(spark, share):
+    texts = [*samples(), "", None, "a " * 7]
+    blind = repetition.Field()
+    blind.w[:] = -9.0  # all lines are content
+    want = {i for i, t in enumerate(texts) if share_by_brute_force(t) >= share}
+    assert {r.doc_id for r in repetition.repetitive(docs(spark, *texts), share, field=blind).collect()} == want and len(want) > 5
