@@ -3,7 +3,9 @@
 Every text is parsed with the grammar of its language by a chart that also holds items reached by edits (a token deleted,
 inserted or replaced); the least number of edits that make it a text of the language flags it if it is not zero. Where the edits
 lie tells why: at the end of an unclosed text (truncation), on conflict markers, all over it (another language) or at one place.
-For Python and JSON, whose parsers are at hand, what the chart flags is checked by these before it is reported.
+For Python and JSON, whose parsers are at hand, what the chart flags is checked by these before it is reported. The rules for Python
+are looser than the language in what may be assigned to and in the order of arguments and parameters, so what the chart takes is
+checked by its parser too, and counts as one edit if that refuses it.
 
 Defined results
 * the language is that of ``ext``, else of the suffix of ``rel_path``, among those marked ``parse_checked``; other files give no row;
@@ -79,7 +81,10 @@ def check(lang: grammars.Language, name: str, text: str) -> tuple[int, int, str
             plain = plain[plain.find("\n") :] if "\n" in plain and name in ("javascript", "typescript") else plain
     tokens = lang.tokens(plain)
     r = parse(lang.grammar, tokens)
-    if not r.cost or exact(name, text):
+    if not r.cost:
+        wrong = name == "python" and exact(name, plain) is False
+        return len(tokens), int(wrong), "local" if wrong else None
+    if exact(name, text):
         return len(tokens), 0, None
     return len(tokens), r.cost, cause_of(r, tokens, plain)
 

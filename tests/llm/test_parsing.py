@@ -141,3 +141,15 @@ def test_rows(spark):
     assert sorted((r.file_id, r.lang, r.edits > 0) for r in got.collect()) == [(1, "python", False), (2, "python", True), (4, "json", True), (7, "javascript", False)]
     assert {(r.root, r.lang, r.n_files, r.n_bad) for r in p.rates(got).collect()} == {("r", "python", 2, 1), (None, "json", 1, 1), ("r", "javascript", 1, 0)}
     assert p.parsed(files.limit(0), langs).count() == 0
+
+
+LOOSE = ["1 = x\n", "f() = 1\n", "f(a=1, 2)\n", "def f(a=1, b):\n    pass\n"]
+STRICT = ["x = 1\n", "\ufeffx = 1\r\n", "f(1, a=2)\n", "def f(a, b=1):\n    pass\n"]
+
+
+def test_python_is_taken_only_as_its_parser_takes_it(spark):
+    rows = [(i, ".py", t) for i, t in enumerate(LOOSE + STRICT)]
+    files = spark.createDataFrame([(i, "r", f"a{i}.py", e, t) for i, e, t in rows], "file_id long, root string, rel_path string, ext string, content string")
+    languages = spark.createDataFrame([(".py", "python", True)], "ext string, lang string, parse_checked boolean")
+    got = {r.file_id: (r.edits, r.cause) for r in p.parsed(files, languages).collect()}
+    assert got == {i: (1, "local") if i < len(LOOSE) else (0, None) for i in range(len(rows))}
