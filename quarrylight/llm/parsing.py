@@ -1,7 +1,9 @@
 """Source files that do not parse, by error-correcting chart parsing.
 
 Every text is parsed with the grammar of its language by a chart that also holds items reached by edits (a token deleted,
-inserted or replaced); the least number of edits that make it a text of the language flags it if it is not zero. Where the edits
+inserted or replaced); the number of edits that make it a text of the language flags it if it is not zero. It is the least found,
+and not always the least there is: see ``syntax.chart`` for its beam and for texts of over 120 brackets without a partner, whose
+``edits`` and ``cause`` can be off; whether a text is flagged does not depend on that. Where the edits
 lie tells why: at the end of an unclosed text (truncation), on conflict markers, all over it (another language) or at one place.
 For Python and JSON, whose parsers are at hand, what the chart flags is checked by these before it is reported. The rules for Python
 are looser than the language in what may be assigned to and in the order of arguments and parameters, so what the chart takes is
