@@ -70,7 +70,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetition(table(spark, d, "documents"), content=1.0).select("doc_id", "n_words", "repeated_share", F.round("content_share", 6).alias("content_share"))
+    return repetition.repetition(table(spark, d, "documents"), content=1.0).select("doc_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
 
 
 QUERIES = {
@@ -90,12 +90,14 @@ QUERIES = {
     "p9_shares": p9_shares,
 }
 
-SQL = {
-    "p2_found": "select distinct id from chunks where strlen(content) > 10240",
-    "p9_found": r"""with w as (
-  select doc_id, regexp_extract_all(lower(text), '\p{L}+') as ws from documents where text is not null),
+_SAID = r"""w as (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') as ws from documents),
 g as (select doc_id, i, list_slice(ws, i, i + 5) as gram, len(ws) as n from w, lateral (select unnest(range(1, len(ws) - 4)) as i) t where len(ws) >= 6),
 r as (select doc_id, i, n, row_number() over (partition by doc_id, gram order by i) as k from g),
-c as (select distinct doc_id, n, i + j as p from r, range(0, 6) t(j) where k > 1)
-select doc_id from c group by doc_id, n having count(*) >= 0.45 * n""",
+c as (select distinct doc_id, n, i + j as p from r, range(0, 6) t(j) where k > 1)"""
+
+SQL = {
+    "p2_found": "select distinct id from chunks where strlen(content) > 10240",
+    "p9_found": f"with {_SAID} select doc_id from c group by doc_id, n having count(*) >= 0.45 * n",
+    "p9_shares": f"with {_SAID}, k as (select doc_id, count(*) as said from c group by doc_id) select w.doc_id, cast(len(w.ws) as bigint) as n_words, round(coalesce(k.said, 0) / greatest(len(w.ws), 1), 6) as repeated_share from w left join k on k.doc_id = w.doc_id",
 }

@@ -1,12 +1,14 @@
 """Repetition inside a single document.
 
 Each text is cut into lines (of at most ``WIDTH`` words); a linear-chain conditional random field labels each line as content or
-boilerplate by Viterbi decoding, and the share of words on content lines decides which documents may be too repetitive. For
-those, and for all that could reach the share asked for by the words of their weak labels, the exact share follows: the words
-that lie in runs of six or more that occurred earlier in the same text. What the field labels can so add candidates but lose none.
+boilerplate by Viterbi decoding, and the share of words on content lines decides on the document: those of which the field leaves
+more than ``content`` are kept. Of the others the exact share follows as a check: the words that lie in runs of six or more that
+occurred earlier in the same text.
 
-The field is trained on the lines of a sample of documents bounded by ``sample`` (those of the smallest hash of their text);
-what a line is labelled with there is weak: boilerplate if a quarter or more of its words are already said.
+The field sees of a line how much of it lies in runs of two and of three words said before, whether it was there as a whole, its
+length and its place; it sees no runs of six. It is trained on the lines of a sample of documents bounded by ``sample`` (those of
+the smallest hash of their text); what a line is labelled with there is weak: boilerplate if a quarter or more of its words lie in
+runs of six already said.
 
 Defined results
 * a word is a maximal run of letters in any case; digits, punctuation and line breaks separate words only;
@@ -32,18 +34,13 @@ RUN = 6
 SHARE = 0.45
 WIDTH = 12
 SAMPLE = 2_000
-#: Documents whose content share is at most this are checked exactly.
-CONTENT = 0.8
-#: Share of a line's words already said from which it is weakly labelled boilerplate. See ``least_weak``.
+#: Documents of which the field leaves at most this as content may be too repetitive.
+CONTENT = 0.7
+#: Share of a line's words in runs of six already said from which it is weakly labelled boilerplate.
 WEAK = 0.25
 WORD = re.compile(r"[^\W\d_]+")
-#: Feature classes of a line: share of its words said before in runs of six, in runs of three, seen as a whole, length, place.
-SHAPES = (6, 4, 2, 3, 3)
-
-
-def least_weak(share: float) -> float:
-    """Least share of words on weakly labelled lines ``w`` of a document of which ``share`` is said: at most ``w + WEAK * (1 - w)`` is."""
-    return (share - WEAK) / (1 - WEAK) - 1e-9
+#: Feature classes of a line: share of its words said before in runs of three, in runs of two, seen as a whole, length, place.
+SHAPES = (8, 4, 2, 3, 3)
 
 
 class Batch:
@@ -94,18 +91,24 @@ class Batch:
         np.add.at(mark, again + run, -1)
         return np.cumsum(mark[:-1]) > 0
 
+    def only(self, keep: np.ndarray) -> Batch:
+        """The texts marked in ``keep``."""
+        out = Batch([])
+        n = np.diff(np.r_[0, self.end])
+        out.n_docs, out.end, out.word = int(keep.sum()), np.cumsum(n[keep]), self.word[keep[self.doc]]
+        out.doc = np.repeat(np.arange(out.n_docs), n[keep])
+        return out
+
     def shares(self) -> np.ndarray:
         """Exact share of words already said, of each text."""
         said = np.bincount(self.doc[self.said(RUN)], minlength=self.n_docs)
         return said / np.maximum(1, np.diff(np.r_[0, self.end]))
 
-    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each line: its text, its number of words, its feature class and whether a quarter of it is said before."""
-        start = np.r_[0, self.line_end[:-1]] if len(self.line_end) else np.zeros(0, dtype=np.int64)
-        size = self.line_end - start
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each line: its text, its number of words and its feature class."""
+        start, size = self._starts()
         doc = self.doc[start] if len(start) else np.zeros(0, dtype=np.int64)
-        mean = lambda x: np.add.reduceat(x.astype(float), start) / size if len(start) else np.zeros(0)
-        six, three = mean(self.said(RUN)), mean(self.said(3))
+        three, two = self._mean(self.said(3)), self._mean(self.said(2))
         key = np.zeros(len(start), dtype=np.uint64)
         if len(start):
             mixed = (self.word * np.uint64(0x9E3779B97F4A7C15)) ^ ((np.arange(len(self.word)) - np.repeat(start, size)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -118,11 +121,23 @@ class Batch:
         if len(start):
             first = np.r_[True, doc[1:] != doc[:-1]]
             place = np.where(first, 0, np.where(np.r_[first[1:], True], 2, 1))
-        f = (np.ceil(six * 4).astype(int) + (six >= 1), np.ceil(three * 3).astype(int), whole, np.digitize(size, [4, 10]), place)
+        f = (np.ceil(three * 6).astype(int) + (three >= 1), np.ceil(two * 3).astype(int), whole, np.digitize(size, [4, 10]), place)
         code = np.zeros(len(start), dtype=np.int64)
         for values, shape in zip(f, SHAPES, strict=True):
             code = code * shape + np.minimum(values, shape - 1)
-        return doc, size, code, six >= WEAK
+        return doc, size, code
+
+    def weak(self) -> np.ndarray:
+        """Weak labels of the lines: is a quarter or more of their words already said?"""
+        return self._mean(self.said(RUN)) >= WEAK
+
+    def _starts(self) -> tuple[np.ndarray, np.ndarray]:
+        start = np.r_[0, self.line_end[:-1]] if len(self.line_end) else np.zeros(0, dtype=np.int64)
+        return start, self.line_end - start
+
+    def _mean(self, x: np.ndarray) -> np.ndarray:
+        start, size = self._starts()
+        return np.add.reduceat(x.astype(float), start) / size if len(start) else np.zeros(0)
 
 
 def _columns(code: np.ndarray) -> np.ndarray:
@@ -208,21 +223,31 @@ def _places(doc: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field from at most ``sample`` documents."""
+    """The field from at most ``sample`` documents, of which line classes and weak labels reach the driver, no texts."""
     rows = documents.select("text").where("text <> ''").withColumn("_h", F.shiftrightunsigned(F.xxhash64("text"), 1))
     # Hashes are even over 0..2^63, so a little more than the sample lies below this and no task returns more than its part of it.
     below = min(1.0, (1.2 * sample + 200) / max(1, documents.count())) * (2**63 - 1)
-    few = rows.where(F.col("_h") <= F.lit(min(int(below), 2**63 - 1))).orderBy("_h", F.length("text")).limit(sample)
-    texts = [r.text for r in few.collect()]
-    doc, _, code, y = Batch(texts).lines()
-    return Field().fit(doc, code, y)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            batch = Batch(list(b["text"]))
+            doc, _, code = batch.lines()
+            y = batch.weak()
+            cut = np.searchsorted(doc, np.arange(len(b) + 1))
+            yield pd.DataFrame({"h": b["_h"], "code": [code[i:j].astype(np.int16).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], "y": [y[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]})
+
+    few = map_batches(rows.where(F.col("_h") <= F.lit(min(int(below), 2**63 - 1))), label, "h long, code binary, y binary").orderBy("h", "code").limit(sample).collect()
+    codes = [np.frombuffer(r.code, dtype=np.int16) for r in few]
+    if not codes:
+        return Field()
+    doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    return Field().fit(doc, np.concatenate(codes).astype(np.int64), np.concatenate([np.frombuffer(r.y, dtype=bool) for r in few]))
 
 
-def repetition(documents: DataFrame, field: Field | None = None, sample: int = SAMPLE, content: float = CONTENT, share: float = SHARE) -> DataFrame:
+def repetition(documents: DataFrame, field: Field | None = None, sample: int = SAMPLE, content: float = CONTENT) -> DataFrame:
     """``doc_id, n_words, content_share, checked, repeated_share`` of every document.
 
-    ``content_share`` is what the field labels as content; ``repeated_share`` is exact, and null where that is over ``content``
-    and the exact share is surely below ``share``.
+    ``content_share`` is what the field labels as content; ``repeated_share`` is exact, and null where that is over ``content``.
     """
     model = documents.sparkSession.sparkContext.broadcast(field or train(documents, sample))
 
@@ -230,14 +255,15 @@ def repetition(documents: DataFrame, field: Field | None = None, sample: int = S
         for b in batches:
             texts = [t or "" for t in b["text"]]
             batch = Batch(texts)
-            doc, size, code, weak = batch.lines()
+            doc, size, code = batch.lines()
             y = model.value.decode(doc, code)
             n = np.diff(np.r_[0, batch.end])
             kept = np.bincount(doc, weights=size * (y == 0), minlength=len(texts))
             content_share = np.where(n > 0, kept / np.maximum(1, n), 1.0)
-            may = np.bincount(doc, weights=size * weak, minlength=len(texts)) >= least_weak(share) * n
-            checked = (content_share <= content) | may & (n > 0)
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n_words": n, "content_share": content_share, "checked": checked, "repeated_share": np.where(checked, batch.shares(), np.nan)})
+            checked = content_share <= content
+            exact = np.full(len(texts), np.nan)
+            exact[checked] = batch.only(checked).shares()
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n_words": n, "content_share": content_share, "checked": checked, "repeated_share": exact})
 
     rows = documents.select("doc_id", "text")
     out = map_batches(rows, measure, "doc_id long, n_words long, content_share double, checked boolean, repeated_share double")
@@ -245,5 +271,5 @@ def repetition(documents: DataFrame, field: Field | None = None, sample: int = S
 
 
 def repetitive(documents: DataFrame, share: float = SHARE, **options) -> DataFrame:
-    """``repetition`` of the documents of which at least ``share`` is already said."""
-    return repetition(documents, share=share, **options).where(F.col("checked") & (F.col("repeated_share") >= share))
+    """``repetition`` of the documents that the field leaves too little of and of which at least ``share`` is already said."""
+    return repetition(documents, **options).where(F.col("checked") & (F.col("repeated_share") >= share))
