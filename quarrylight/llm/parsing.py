@@ -2,9 +2,8 @@
 
 Every text is parsed with the grammar of its language by a chart that also holds items reached by edits (a token deleted,
 inserted or replaced); the number of edits that make it a text of the language flags it if it is not zero. It is the least found,
-and not always the least there is: see ``syntax.chart`` for its beam and for texts of over 120 brackets without a partner, whose
-``edits`` and ``cause`` can be off; whether a text is flagged does not depend on that. Where the edits
-lie tells why: at the end of an unclosed text (truncation), on conflict markers, all over it (another language) or at one place.
+within a content of over two edits nearly always the least there is, and surely so with ``least``: see ``syntax.chart``. Where the
+edits lie tells why: at the end of an unclosed text (truncation), on lines of conflict markers, all over it (another language) or at one place.
 For Python and JSON, whose parsers are at hand, what the chart flags is checked by these before it is reported. The rules for Python
 are looser than the language in what may be assigned to and in the order of arguments and parameters, so what the chart takes is
 checked by its parser too, and counts as one edit if that refuses it.
@@ -63,10 +62,17 @@ def exact(lang: str, text: str) -> bool | None:
     return True
 
 
-def cause_of(r: Result, tokens: str, text: str) -> str:
+def cause_of(r: Result, tokens: str, text: str, lang: grammars.Language) -> str:
     n = max(1, len(tokens))
-    if CONFLICT.search(text):
-        return "conflict"
+    for m in CONFLICT.finditer(text):
+        # A marker is met on its line, or on the next if that goes on with what stood before.
+        after = text.find("\n", m.end()) + 1 or len(text)
+        after = text.find("\n", after) + 1 or len(text)
+        low, high = len(lang.tokens(text[: m.start()])) - 1, len(lang.tokens(text[:after])) + 1
+        if any(low <= p <= high for p in r.places):
+            return "conflict"
+    if r.unclosed and r.cost - r.unclosed <= 2:
+        return "truncation"
     if r.cost >= 4 and (r.cost > 0.08 * n or min(r.places, default=n) < 0.03 * n):
         return "mismatch"
     if r.places and max(r.places) >= n - 3:
@@ -74,7 +80,7 @@ def cause_of(r: Result, tokens: str, text: str) -> str:
     return "local"
 
 
-def check(lang: grammars.Language, name: str, text: str) -> tuple[int, int, str | None]:
+def check(lang: grammars.Language, name: str, text: str, least: bool = False) -> tuple[int, int, str | None]:
     """``(tokens, edits, cause)``; no edits and no cause for a text that parses."""
     plain = text.replace("\r\n", "\n")
     if name != "json":
@@ -82,17 +88,20 @@ def check(lang: grammars.Language, name: str, text: str) -> tuple[int, int, str
         if plain.startswith("#!") and name in ("javascript", "typescript", "rust", "java", "go"):
             plain = plain[plain.find("\n") :] if "\n" in plain and name in ("javascript", "typescript") else plain
     tokens = lang.tokens(plain)
-    r = parse(lang.grammar, tokens)
+    r = parse(lang.grammar, tokens, least)
     if not r.cost:
         wrong = name == "python" and exact(name, plain) is False
         return len(tokens), int(wrong), "local" if wrong else None
     if exact(name, text):
         return len(tokens), 0, None
-    return len(tokens), r.cost, cause_of(r, tokens, plain)
+    return len(tokens), r.cost, cause_of(r, tokens, plain, lang)
+
 
+def parsed(files: DataFrame, languages: DataFrame, least: bool = False) -> DataFrame:
+    """``file_id, root, lang, tokens, edits, cause`` of every file of a checked language; ``edits`` 0 if it parses.
 
-def parsed(files: DataFrame, languages: DataFrame) -> DataFrame:
-    """``file_id, root, lang, tokens, edits, cause`` of every file of a checked language; ``edits`` 0 if it parses."""
+    ``least``: the edits of each content are surely the least, at several times the cost for broken files.
+    """
     ext = F.lower(F.coalesce(F.col("ext"), F.concat(F.lit("."), F.nullif(F.regexp_extract("rel_path", r"\.([A-Za-z0-9]+)$", 1), F.lit("")))))
     rows = files.where("file_id is not null and content is not null").select("file_id", "root", ext.alias("_ext"), "content")
     checked = languages.where("parse_checked").select(F.lower("ext").alias("_ext"), "lang").where(F.col("lang").isin(sorted(grammars.LANGUAGES))).distinct()
@@ -106,7 +115,7 @@ def parsed(files: DataFrame, languages: DataFrame) -> DataFrame:
             for fid, root, name, text in zip(b["file_id"], b["root"], b["lang"], b["content"], strict=True):
                 if name not in _made:
                     _made[name] = grammars.language(name, ready.value[name])
-                out.append((fid, root, name, *check(_made[name], name, text)))
+                out.append((fid, root, name, *check(_made[name], name, text, least)))
             yield pd.DataFrame(out, columns=["file_id", "root", "lang", "tokens", "edits", "cause"])
 
     return map_batches(known, run, PARSED).dropDuplicates(["file_id"])

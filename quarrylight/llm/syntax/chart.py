@@ -8,9 +8,10 @@ Tokens are single characters. The states that a content can be in are sets of po
 steps between them are built when first met and kept, so a text made of known shapes costs one dictionary look-up a token.
 
 Where a content has no state left, the chart is filled again with items of one, two ... edits: a token deleted, inserted or
-replaced. Items of more than ``BEAM`` edits above the best are dropped. Brackets that pair with none are repaired first, by the
-cheapest set of insertions and deletions; of more than 120 such brackets each is deleted and no cheapest set is sought. So the
-cost is zero exactly for texts of the grammar, but for broken ones it may be more than the least.
+replaced. Items of more than ``BEAM`` edits above the best are dropped, unless the least number is asked for: then the chart is
+filled once more with as many edits as were needed, so that no item of a cheaper parse can be dropped. Brackets that pair with none
+are repaired first, by the cheapest set of insertions and deletions, and each content after that by itself. So the cost is zero
+exactly for texts of the grammar; for broken ones it is the least given their brackets, with the beam nearly always.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ import re
 import numpy as np
 
 BEAM = 2
+#: Brackets without a partner up to which the spans of all of them are charted; beyond, stacks are searched, as exactly.
+SPANS = 120
+#: Stacks kept in that search. Beyond it, which takes hundreds of brackets of several kinds in disorder, the cheapest stay and the
+#: cost is an upper bound.
+STACKS = 4_096
 #: A chart forgets its sets of states, and a lexer its tokens, when it holds more than this: the memory of a worker is bounded.
 KEPT = 25_000
 TOKENS = 60_000
@@ -342,10 +348,17 @@ class Grammar:
         out = old.next[c] = self.live(tuple(new)), more
         return out
 
-    def edits(self, opener: str, body: str) -> tuple[int, frozenset[str], int]:
-        """Least number of edits that make ``body`` a content of ``opener``, its roles then, and where the first edit is."""
+    def edits(self, opener: str, body: str, least: bool = False, beam: int = BEAM) -> tuple[int, frozenset[str], int]:
+        """Number of edits that make ``body`` a content of ``opener``, its roles then, and where the first edit is.
+
+        ``least``: surely the least number. A prefix of the cheapest parse costs no more than any parse, so a beam of that width
+        drops none of its items.
+        """
+        if least:
+            cost, roles, first = self.edits(opener, body)
+            return self.edits(opener, body, beam=cost) if cost > BEAM else (cost, roles, first)
         levels = [self.first[opener]]
-        for _ in range(BEAM):
+        for _ in range(beam):
             levels.append(levels[-1] | self._wider(levels[-1]))
         live, base, first = self.live(tuple(levels)), 0, -1
         for i, c in enumerate(body):
@@ -388,26 +401,14 @@ def unpaired(text: str, pairs: dict[str, str], closers: dict[str, str]) -> tuple
             else:
                 stack.append((i, c))
     n = len(stack)
-    if n > 120:  # far from any pairing; one edit each
-        return [], [i for i, _ in stack]
-    best = [[0] * (n + 1) for _ in range(n + 1)]
-    how: dict[tuple[int, int], int] = {}
-    for size in range(1, n + 1):
-        for a in range(n - size + 1):
-            b = a + size
-            cost, k = 1 + best[a + 1][b], -1  # the first alone
-            if stack[a][1] in pairs:
-                for m in range(a + 1, b):
-                    if stack[m][1] == pairs[stack[a][1]]:
-                        if (x := best[a + 1][m] + best[m + 1][b]) < cost:
-                            cost, k = x, m
-            best[a][b], how[a, b] = cost, k
+    kinds = [c for _, c in stack]
+    partner = paired_spans(kinds, pairs) if n <= SPANS else paired_stacks(kinds, pairs, closers)
     insert, delete, todo = [], [], [(0, n, len(text))]
     while todo:
         a, b, end = todo.pop()
         if a >= b:
             continue
-        k = how[a, b]
+        k = partner.get(a, -1)
         if k >= 0:
             todo += [(a + 1, k, stack[k][0]), (k + 1, b, end)]
         else:
@@ -420,6 +421,94 @@ def unpaired(text: str, pairs: dict[str, str], closers: dict[str, str]) -> tuple
     return insert, delete
 
 
+def paired_spans(kinds: list[str], pairs: dict[str, str]) -> dict[int, int]:
+    """Partners, by place, that leave the fewest of the brackets alone: a chart of all spans."""
+    n = len(kinds)
+    best = [[0] * (n + 1) for _ in range(n + 1)]
+    how: dict[tuple[int, int], int] = {}
+    for size in range(1, n + 1):
+        for a in range(n - size + 1):
+            b = a + size
+            cost, k = 1 + best[a + 1][b], -1  # the first alone
+            if kinds[a] in pairs:
+                for m in range(a + 1, b):
+                    if kinds[m] == pairs[kinds[a]] and (x := best[a + 1][m] + best[m + 1][b]) < cost:
+                        cost, k = x, m
+            best[a][b], how[a, b] = cost, k
+    out, todo = {}, [(0, n)]
+    while todo:
+        a, b = todo.pop()
+        if a < b:
+            if (k := how[a, b]) >= 0:
+                out[a] = k
+                todo += [(a + 1, k), (k + 1, b)]
+            else:
+                todo.append((a + 1, b))
+    return out
+
+
+class Stack:
+    """Open brackets, the last one first; one object for all equal stacks. ``near``: the last one of each kind."""
+
+    __slots__ = ("depth", "kind", "near", "under", "upon")
+
+    def __init__(self, under: Stack | None, kind: str):
+        self.under, self.kind, self.upon = under, kind, {}
+        self.depth = under.depth + 1 if under else 0
+        self.near = {**under.near, kind: self} if under else {}
+
+
+def paired_stacks(kinds: list[str], pairs: dict[str, str], closers: dict[str, str]) -> dict[int, int]:
+    """The same by a search over the stacks of open brackets, from left to right.
+
+    A closing bracket pairs with the top where it fits. Else it is left alone, or pairs with the nearest one it fits and all above
+    that are left alone; a farther one leads to nothing that the nearest does not. Equal stacks are one state. A stack is dropped if
+    a cheaper one becomes it, by leaving brackets alone, at no more than its cost.
+    """
+    first = next((i for i, c in enumerate(kinds) if c in pairs), len(kinds))
+    last = next((i for i in range(len(kinds) - 1, -1, -1) if kinds[i] in closers), -1)
+    # of each stack: its cost, the pairs so far and the places of its brackets
+    states: dict[Stack, tuple[int, tuple | None, tuple | None]] = {Stack(None, ""): (0, None, None)}
+
+    def apart(x: Stack, y: Stack) -> int:
+        n = 0
+        while x is not y:
+            x, y = (x.under, y) if x.depth >= y.depth else (x, y.under)
+            n += 1
+        return n
+
+    for i in range(first, last + 1):
+        c, new = kinds[i], {}
+        for s, (cost, trail, places) in states.items():
+            if c in pairs:
+                if c not in s.upon:
+                    s.upon[c] = Stack(s, c)
+                after = [(s.upon[c], cost, trail, (i, places))]
+            elif s.kind == closers[c]:
+                after = [(s.under, cost, (places[0], i, trail), places[1])]
+            else:
+                after = [(s, cost + 1, trail, places)]
+                if near := s.near.get(closers[c]):
+                    for _ in range(s.depth - near.depth):
+                        places = places[1]
+                    after.append((near.under, cost + s.depth - near.depth, (places[0], i, trail), places[1]))
+            for t, x, *rest in after:
+                if t not in new or x < new[t][0]:
+                    new[t] = x, *rest
+        if len(new) > 8:
+            top, (least, *_) = min(new.items(), key=lambda x: x[1][0])
+            new = {t: v for t, v in new.items() if t is top or v[0] < least + apart(t, top)}
+        if len(new) > STACKS:
+            new = dict(sorted(new.items(), key=lambda x: x[1][0])[:STACKS])
+        states = new
+    _, (_, trail, _) = min(states.items(), key=lambda x: x[1][0] + x[0].depth)
+    out = {}
+    while trail:
+        a, b, trail = trail
+        out[a] = b
+    return out
+
+
 class Result:
     """Edits of a parse, with the places of their tokens."""
 
@@ -429,7 +518,7 @@ class Result:
         self.cost, self.places, self.unclosed = 0, [], 0
 
 
-def parse(g: Grammar, text: str) -> Result:
+def parse(g: Grammar, text: str, least: bool = False) -> Result:
     """Parse the tokens ``text``; without an edit this is one pass over them."""
     out = Result()
     if g.held() > KEPT:
@@ -459,10 +548,10 @@ def parse(g: Grammar, text: str) -> Result:
                 break
     if ok and not stack and node.roles:
         return out
-    return correct(g, text)
+    return correct(g, text, least)
 
 
-def correct(g: Grammar, text: str) -> Result:
+def correct(g: Grammar, text: str, least: bool = False) -> Result:
     """The same with edits: brackets first, then each content by itself."""
     out = Result()
     insert, delete = unpaired(text, g.pairs, g.closers)
@@ -491,13 +580,14 @@ def correct(g: Grammar, text: str) -> Result:
         """Close the group; ``made``: by a bracket that was put in, which may as well stand where its content ends."""
         nonlocal body, where, opener
         rest, places = [], []
-        cost, roles, first = g.edits(opener, "".join(body))
+        cost, roles, first = g.edits(opener, "".join(body), least)
         if made and cost and (k := fits(body)) >= 0:
             rest, places, body, where = body[k:], where[k:], body[:k], where[:k]
             if last in out.places:
                 out.places.remove(last)
                 out.places.append(places[0])
-            cost, roles, first = g.edits(opener, "".join(body))
+                out.unclosed -= last == len(text)
+            cost, roles, first = g.edits(opener, "".join(body), least)
         if cost:
             out.cost += cost
             out.places.append(where[first] if first < len(where) else last)
@@ -528,7 +618,7 @@ def correct(g: Grammar, text: str) -> Result:
             where.append(i)
     while stack:
         shut(len(text))
-    cost, _, first = g.edits("", "".join(body))
+    cost, _, first = g.edits("", "".join(body), least)
     if cost:
         out.cost += cost
         out.places.append(where[first] if first < len(where) else len(text))

@@ -1,11 +1,12 @@
 import ast
 import json
+import random
 
 import pytest
 
 from quarrylight.llm import parsing as p
 from quarrylight.llm.syntax import grammars
-from quarrylight.llm.syntax.chart import unpaired
+from quarrylight.llm.syntax.chart import SPANS, paired_spans, paired_stacks, parse, unpaired
 
 GOOD = {
     "json": ['{"a": [1, -2.5e3, "x\\n", null, {}]}', "3", '"s"', "[]"],
@@ -153,3 +154,39 @@ def test_python_is_taken_only_as_its_parser_takes_it(spark):
     languages = spark.createDataFrame([(".py", "python", True)], "ext string, lang string, parse_checked boolean")
     got = {r.file_id: (r.edits, r.cause) for r in p.parsed(files, languages).collect()}
     assert got == {i: (1, "local") if i < len(LOOSE) else (0, None) for i in range(len(rows))}
+
+
+def test_many_brackets_cost_no_more_than_they_have_to():
+    js = LANGS["javascript"]
+    for n in (60, 121, 400):
+        assert p.check(js, "javascript", "function f(){" * n + "return 1;")[1:] == (n, "truncation")
+    assert len(unpaired("(" * 300 + "[" + ")" * 300, {"(": ")", "[": "]"}, {")": "(", "]": "["})[0]) == 1
+
+
+def test_stacks_leave_as_few_alone_as_spans():
+    rnd = random.Random(2)
+    pairs, closers = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
+    for _ in range(300):
+        kinds = [rnd.choice("([{)]}" if rnd.random() < 0.7 else "()") for _ in range(rnd.randint(0, min(40, SPANS)))]
+        one, two = paired_spans(kinds, pairs), paired_stacks(kinds, pairs, closers)
+        assert len(one) == len(two), kinds
+        used = sorted([*two, *two.values()])
+        assert len(set(used)) == 2 * len(two) and all(pairs[kinds[a]] == kinds[b] and a < b for a, b in two.items())
+        assert not any(a < c < b < d for a, b in two.items() for c, d in two.items())
+
+
+def test_causes_come_from_edits():
+    js = LANGS["javascript"]
+    conflict = "a();\n<<<<<<< HEAD\nb();\n=======\nc();\n>>>>>>> x\nd();\n"
+    assert p.check(js, "javascript", conflict)[2] == "conflict"
+    text = "const t = `\n=======\n`;\n" + "f(1);\n" * 30 + "x = ;\n" + "g(2);\n" * 30
+    assert p.check(js, "javascript", text)[2] == "local"
+
+
+def test_least_edits_are_no_more():
+    rnd = random.Random(4)
+    js = LANGS["javascript"]
+    for _ in range(40):
+        toks = [rnd.choice(["a", "=", "1", ";", "if", "return", "+", ",", "class", "const"]) for _ in range(rnd.randint(5, 25))]
+        t = js.tokens(" ".join(toks))
+        assert parse(js.grammar, t, least=True).cost <= parse(js.grammar, t).cost
