@@ -1,18 +1,22 @@
 """Credentials embedded in source code: find the lines on which they start and redact them.
 
-Candidate literals come from whole texts by pattern: values with the form of a known token, logins in URLs, private key
-blocks, and values next to an identifier that speaks of a secret. A logistic regression decides on them. Its features are the
-likelihood of the value's characters under a first-order Markov model of all texts, the words of the surrounding identifier
-and the kind of path; it is trained on candidates labelled weakly by pattern and calibrated on a held-out part of them.
-Literals whose calibrated score reaches ``threshold`` are findings; redaction replaces their characters only.
+Candidate literals come from whole texts by shape: values with the form of a known token, logins in URLs, private key blocks,
+values on lines that speak of a secret, and quoted runs of characters with a digit among them. A logistic regression decides on
+every one of them. Its features are the likelihood of the value's characters under a first-order Markov model of all texts, shares
+of characters, and hashed pieces of the surrounding identifiers, of the text right at the value, of the value itself and of the
+path; none of them is a pattern that labels. Patterns only label candidates weakly, and leave open what they are not sure of; the
+regression is trained on a sample of the labelled ones and calibrated on a held-out part to the share of credentials among all.
+Literals whose calibrated score reaches ``threshold`` go on to an exact check that drops what cannot work as written (placeholders
+and look-ups); redaction replaces their characters only.
 
 The Markov counts cover all rows. Labelled candidates for the fit are a sample bounded by ``sample`` rows a label, those of the
-smallest hash. The collected counts are bounded by the alphabet (97 x 97 classes).
+smallest hash, beside a few fixed examples, so the method is the same for every number of rows. The collected counts are bounded by
+the alphabet (97 x 97 classes).
 
 Defined results
 * a null content or id gives no row, an empty content none; a null path counts as a path of no known kind;
 * repeated rows give one result row; texts and values of any length are read whole;
-* an empty table, or one without labelled candidates of both kinds, is judged by the weak labels alone;
+* an empty table gives no rows; in a table without labelled candidates the fixed examples alone train the regression;
 * extra columns are ignored.
 """
 
@@ -20,7 +24,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import functools
+import math
 import re
+import zlib
+from collections import Counter, namedtuple
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +42,8 @@ from quarrylight.session import map_batches, materialise
 
 SAMPLE = 5_000
 THRESHOLD = 0.5
-#: A candidate with a longer value goes on as what the score needs of all of it, see ``measured``; a shorter one as it is.
-CARRIED = 4_096
+#: Slots of the hashed features.
+SLOTS = 1_024
 ALPHABET = 97  # printable ASCII, one class for white space and one for the rest
 
 # Public formats of issued tokens.
@@ -256,7 +264,7 @@ def wordy(value: str) -> bool:
 
 
 def weak_label(kind: str, before: str, value: str) -> int:
-    """1: surely a credential by pattern, 0: surely none, -1: undecided."""
+    """1: surely a credential by pattern, 0: surely none, -1: left open. Labels train the regression; no result is read off them."""
     name = name_of(before)
     if kind == "pem":
         return int(len(re.sub(r"\\n|[^A-Za-z0-9+/]", "", value)) >= 40)
@@ -265,14 +273,14 @@ def weak_label(kind: str, before: str, value: str) -> int:
     if kind in ("url", "format"):
         return 1
     if kind == "generic":
-        return int(speaks(_inner(value)))
+        return -1 if speaks(_inner(value)) else 0
     if about(name) or wordy(value) or re.fullmatch(r"[\d.,;:]+|\w*<.*>[,;]?|(?:\[\])?\w*[\[{(]+", value):
         return 0
     if speaks(_inner(value)):
         return 1
     mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", r"\d", r"[^\w]"))
     if kind == "auth":
-        return int(mixed >= 2)
+        return -1
     if kind in ("said", "login"):
         return 1 if mixed >= 3 else -1
     if not NAMED.search(name):
@@ -282,80 +290,125 @@ def weak_label(kind: str, before: str, value: str) -> int:
     return 1 if len(value) >= 8 and mixed >= 2 else -1
 
 
-def features(kind: str, before: str, value: str, path: str, likelihood: float) -> list[float]:
-    name, ext = name_of(before), path.rpartition(".")[2].lower()
-    n = max(1, len(value))
-    inner = _inner(value)
-    return [
-        1.0,
-        likelihood,
-        min(n, 60) / 30.0,
-        sum(c.isdigit() for c in value) / n,
-        sum(c.isupper() for c in value) / n,
-        sum(not c.isalnum() for c in value) / n,
-        len(set(value)) / n,
-        float(bool(re.fullmatch(r"[0-9a-fA-F]{16,}", value))),
-        float(bool(FORMATS.search(value)) or speaks(inner)),
-        float(kind == "url"),
-        float(kind == "pem"),
-        float(kind == "said"),
-        float(kind == "login"),
-        float(kind == "auth"),
-        float(kind == "generic"),
-        float(kind in ("login", "auth") or bool(NAMED.search(name))),
-        float(about(name)),
-        float(hollow(value)),
-        float(bool(STORE.search(value))),
-        float(bool(STORE.search(before[-40:]))),
-        float(wordy(value)),
-        float(bool(re.search(r"pass|pwd", name, re.I))),
-        float(inner is not None),
-        float(ext in CODE_EXT),
-        float(ext in CONF_EXT),
-        float(bool(re.search(r"(^|/)(tests?|testdata|examples?|fixtures?|samples?)/|_test\.", path))),
-    ]
+# Fixed examples that are always among the labelled candidates: ``(label, text)``.
+EXAMPLES = (
+    (1, 'db_password = "Tr0ub4dor-and-3"'), (1, "export API_KEY=q8Zr4kT1mW7xB2nL"), (1, 'auth_token: "uhkbvI3pF8U2YzVVMGM6jBux"'), (1, 'secret = "x9$Lq2vT!m4K"'),
+    (1, "dsn = 'postgres://svc:Xk29sLq1vv@db.local:5432/x'"), (1, 'client_secret = "9fK2mQ7xR4tV1bN8"'), (1, 'item = "ghp_' + "aB3dE6gH9j" * 4 + '"'), (1, '"signing_key": "kP4wZ8sD1fG6hJ3l"'),
+    (0, 'password = "changeme"'), (0, 'api_key = "your-api-key"'), (0, 'token = os.environ["SERVICE_TOKEN_1"]'), (0, 'token_label = "access_token"'),
+    (0, 'digest = "8f57bb4c6ceb38a52856843aacce246954012e0f"'), (0, 'version_tag = "release-2024-10-01"'), (0, '"integrity": "sha512-PcV+vwjgSFZfrwgH9+7TTtDbG2KGo2jm"'), (0, 'password_hint = "at-least-12-characters"'),
+)
+PIECES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+KEPT = 200_000
 
 
-FEATURES = len(features("", "", "", "", 0.0))
+def pieces(text: str) -> list[str]:
+    """Words of an identifier or a text, in lower case, in either way of writing them together."""
+    return [x.lower() for x in PIECES.findall(text)]
 
 
-def likelihood(value: str, logp: np.ndarray) -> float:
-    """Mean log probability of the value's characters, each given the one before."""
-    c = classes(value)
-    return float(logp[c[:-1], c[1:]].mean()) if len(c) > 1 else float(logp.mean())
+def shape(text: str) -> str:
+    """``text`` with runs of digits, of capitals and of small letters as one character each."""
+    return re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d+", "0", text)))
 
 
-def measured(kind: str, before: str, value: str, path: str) -> list[float] | None:
-    """Of a long value its weak label, its features without the likelihood, and its character pairs with their counts."""
-    if len(value) <= CARRIED:
-        return None
-    c = classes(value)
-    n = np.bincount(c[:-1].astype(np.int32) * ALPHABET + c[1:], minlength=ALPHABET * ALPHABET)
-    k = np.flatnonzero(n)
-    return [float(weak_label(kind, before, value)), *features(kind, before, value, path, 0.0), *k.tolist(), *n[k].tolist()]
+class Slots(dict):
+    """Slot of a feature, negative if it counts against its slot; filled as features come, bounded."""
+
+    def __missing__(self, feature: str) -> int:
+        h = zlib.crc32(feature.encode("utf-8", "replace"))
+        slot = 1 + h % SLOTS
+        slot = slot if h >> 20 & 1 else -slot
+        if len(self) < KEPT:
+            self[feature] = slot
+        return slot
+
+
+_slots = Slots()
+_CASE = str.maketrans({**{chr(c): "l" for c in range(97, 123)}, **{chr(c): "U" for c in range(65, 91)}, **{chr(c): "0" for c in range(48, 58)}})
+DENSE = 13
+WORDS = 12
 
 
-def vector(kind: str, before: str, value: str, path: str, logp: np.ndarray, whole: list[float] | None = None) -> list[float]:
-    """Features of a candidate, by its value or by what was ``measured`` of it."""
-    if whole is None:
-        return features(kind, before, value, path, likelihood(value, logp))
-    x = list(whole[1 : FEATURES + 1])
-    k, n = np.asarray(whole[FEATURES + 1 :], dtype=float).reshape(2, -1)
-    x[1] = float((n * logp.ravel()[k.astype(int)]).sum() / n.sum())
-    return x
+@functools.lru_cache(50_000)
+def _of_name(name: str) -> tuple[int, ...]:
+    low = "^" + re.sub(r"[^a-z]+", "_", name.lower()) + "$"
+    words = pieces(name)
+    return tuple(_slots["n:" + low[i : i + 4]] for i in range(max(1, len(low) - 3))) + ((_slots["p:" + " ".join(words[-2:])],) if words else ())
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 50, l2: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton's method; both labels weigh the same."""
-    w = np.zeros(x.shape[1])
-    c = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
+@functools.lru_cache(20_000)
+def _of_path(path: str) -> tuple[int, ...]:
+    low = path.lower()
+    return (_slots["f:" + low.rpartition(".")[2]], *(_slots["d:" + x] for x in low.split("/")[:-1]))
+
+
+def _of_words(words: list[str]) -> list[int]:
+    """Slots of the words a value is made of; of one of over ``WORDS`` that it has so many, as random characters have."""
+    said = {w.lower() for w in words if len(w) > 2 and not w.isdigit()}
+    return [_slots["v:" + w] for w in sorted(said)] if len(said) <= WORDS else [_slots["v:"]]
+
+
+def described(before: str, value: str, path: str, text: str, spans: list[tuple[int, int]]) -> tuple[list[float], list[int]]:
+    """Features of a candidate but for its likelihood: shares and sizes, and slots of the hashed ones."""
+    n, (at, end) = max(1, len(value)), spans[0]
+    inner = _inner(value)
+    # A key block shows what it is in its first line; its body is measured as a value.
+    lead = text[at : text.find("\n", at) if "\n" in text[at:end] else end].strip() if text.startswith("-----", at) else value
+    kinds = value.translate(_CASE)
+    small, large, digits, wide = kinds.count("l"), kinds.count("U"), kinds.count("0"), 0 if value.isascii() else sum(c > "\x7f" for c in value)
+    times = Counter(value).values()
+    words = PIECES.findall(value)
+    bare = bool(re.fullmatch(r"[0-9a-fA-F]+", value))
+    dense = [
+        min(n, 60) / 30.0, math.log(n), small / n, digits / n, large / n, (n - small - large - digits) / n, wide / n, math.log2(n) - sum(t * math.log2(t) for t in times) / n, len(times) / n,
+        len(words) / n, float(bare), float(" " in value), float(inner is not None),
+    ]
+    plain, words = shape(lead), words if lead is value else PIECES.findall(lead)
+    close = text[max(0, at - 6) : at]
+    hashed = [
+        *_of_name(name_of(before)),
+        *_of_path(path),
+        *(_slots["b:" + x] for x in pieces(before)[-6:]),
+        _slots["g:" + re.sub(r"\w+", "w", before[-6:])],
+        _slots["c:" + shape(close)[-3:]],
+        _slots["z:" + text[end : end + 1]],
+        _slots["x:" + text[at : at + 4]],
+        _slots["y:" + text[at : at + 8]],
+        _slots[f"q:{small > 0}{large > 0}{digits > 0}{small + large + digits < n}{len(lead).bit_length()}{lead is value}"],
+        *_of_words(words if inner is None else PIECES.findall(inner)),
+        _slots["s:" + plain[:6]],
+        _slots["e:" + plain[-4:]],
+        _slots[f"h:{n}" if bare else "h:"],
+    ]
+    if inner is not None:
+        hashed.append(_slots["i:" + shape(inner)[:10]])
+    return dense, hashed
+
+
+Row = namedtuple("Row", "dense hashed pairs times")
+
+
+def row_of(before: str, value: str, path: str, text: str, spans: list[tuple[int, int]]) -> Row:
+    """All the score needs of a candidate, whatever its length: features, and character pairs with their counts."""
+    c = classes(value)
+    k = c[:-1].astype(np.int16) * ALPHABET + c[1:]
+    if len(k) > 256:
+        n = np.bincount(k, minlength=ALPHABET * ALPHABET)
+        k = np.flatnonzero(n)
+        return Row(*described(before, value, path, text, spans), k.tolist(), n[k].tolist())
+    return Row(*described(before, value, path, text, spans), k.tolist(), [])
+
+
+def solve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 30, l2: float = 3e-5) -> np.ndarray:
+    """Weighted logistic regression by Newton's method."""
+    w, weight = np.zeros(x.shape[1]), weight / weight.sum()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (c * (p - y)) + l2 * w
-        h = (x * (c * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+        g = x.T @ (weight * (p - y)) + l2 * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
         d = np.linalg.solve(h, g)
         w -= d
-        if np.abs(d).max() < 1e-6:
+        if np.abs(d).max() < 1e-4:
             break
     return w
 
@@ -363,39 +416,60 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 50, l2: float = 1e-3) -> np.n
 class Model:
     """Markov table, weights and calibration; a few hundred kB, the same for every input size."""
 
-    def __init__(self, counts: np.ndarray, rows: list[tuple]):
-        """``rows``: ``(kind, before, value, path, y)``, for a long value with what was ``measured`` of it."""
+    def __init__(self, counts: np.ndarray, rows: list[Row], y: list[int], total: tuple[int, int] | None = None):
+        """``total``: number of candidates labelled 0 and 1 of which ``rows`` are a sample."""
         c = counts + 0.5
-        self.logp = np.log(c / c.sum(axis=1, keepdims=True))
-        self.w = self.mean = self.scale = None
-        self.cal = (1.0, 0.0)
-        y = np.array([r[4] for r in rows], dtype=float)
-        if len(rows) >= 20 and 0 < y.sum() < len(y):
-            x = np.array([vector(k, b, v, p, self.logp, *whole) for k, b, v, p, _, *whole in rows])
-            self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-            self.mean[0], self.scale[0] = 0.0, 1.0
-            x = (x - self.mean) / self.scale
-            held = np.arange(len(y)) % 4 == 0
-            if len(set(y[~held])) < 2:
-                held[:] = False
-            self.w = fit(x[~held], y[~held])
-            if len(set(y[held])) == 2:  # Platt scaling on what the weights have not seen
-                a, b = fit(np.c_[x[held] @ self.w, np.ones(held.sum())], y[held], l2=1e-3)
-                self.cal = (float(a), float(b))
-
-    def scores(self, rows: list[tuple]) -> np.ndarray:
-        """Calibrated probabilities of ``(kind, before, value, path)``, for a long value with what was ``measured`` of it."""
+        self.logp = np.log(c / c.sum(axis=1, keepdims=True)).ravel()
+        self.mean, self.scale = np.zeros(DENSE + 1), np.ones(DENSE + 1)
+        total = total or (len(y) - sum(y), sum(y))
+        rows, y = [*rows, *(r for r, _ in examples())], np.array([*y, *(k for _, k in examples())], dtype=float)
+        x, few = self.measures(rows), np.array([max(1.0, (y == k).sum()) for k in (0, 1)])
+        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        x = np.c_[np.ones(len(rows)), (x - self.mean) / self.scale, self.spread(rows)]
+        place = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
+        held = place % 4 == 0
+        self.w = solve(x[~held], y[~held], np.where(y == 1, np.sqrt(few[0] / few[1]), 1.0)[~held])
+        share = (np.array(total) + few - np.maximum(0, few - sum(k == 1 for _, k in examples()))) / few
+        a, b = solve(np.c_[x[held] @ self.w, np.ones(held.sum())], y[held], share[y[held].astype(int)], l2=1e-4)  # Platt scaling on what the weights have not seen
+        self.cal = (float(a), float(b))
+
+    def measures(self, rows: list[Row]) -> np.ndarray:
+        """Likelihood, the mean log probability of the characters of a value, each given the one before, and the other shares."""
+        n = np.array([len(r.pairs) for r in rows])
+        flat = self.logp[np.concatenate([np.asarray(r.pairs, dtype=np.int64) for r in rows])] if n.sum() else np.zeros(0)
+        times = np.concatenate([np.asarray(r.times, dtype=float) if len(r.times) else np.ones(k) for r, k in zip(rows, n, strict=True)])
+        of = np.repeat(np.arange(len(rows)), n)
+        sums, weight = np.bincount(of, weights=flat * times, minlength=len(rows)), np.bincount(of, weights=times, minlength=len(rows))
+        return np.c_[np.where(weight > 0, sums / np.maximum(1, weight), self.logp.mean()), np.array([list(r.dense) for r in rows])]
+
+    def spread(self, rows: list[Row]) -> np.ndarray:
+        out = np.zeros((len(rows), SLOTS))
+        for i, r in enumerate(rows):
+            h = np.asarray(r.hashed)
+            np.add.at(out[i], np.abs(h) - 1, np.sign(h))
+        return out
+
+    def scores(self, rows: list[Row]) -> np.ndarray:
+        """Calibrated probabilities."""
         if not rows:
             return np.zeros(0)
-        if self.w is None:
-            return np.array([float((weak_label(k, b, v) if not whole or whole[0] is None else whole[0][0]) == 1) for k, b, v, _, *whole in rows])
-        x = (np.array([vector(k, b, v, p, self.logp, *whole) for k, b, v, p, *whole in rows]) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(self.cal[0] * (x @ self.w) + self.cal[1], -30, 30)))
+        head = 2 + DENSE
+        z = self.w[0] + ((self.measures(rows) - self.mean) / self.scale) @ self.w[1:head]
+        n = np.array([len(r.hashed) for r in rows])
+        h = np.concatenate([np.asarray(r.hashed, dtype=np.int64) for r in rows])
+        z += np.bincount(np.repeat(np.arange(len(rows)), n), weights=self.w[head:][np.abs(h) - 1] * np.sign(h), minlength=len(rows))
+        return 1 / (1 + np.exp(-np.clip(self.cal[0] * z + self.cal[1], -30, 30)))
+
 
+@functools.cache
+def examples() -> list[tuple[Row, int]]:
+    """The fixed examples as labelled rows."""
+    return [(row_of(before, value, "", text, spans), y) for y, text in EXAMPLES for _, before, value, spans in candidates(text)[:1]]
 
-def sound(kind: str, before: str, value: str) -> bool:
-    """The exact check: what cannot work as written is no credential, whatever its score."""
-    return weak_label(kind, before, value) != 0
+
+def works(before: str, value: str) -> bool:
+    """The exact check: a placeholder or a look-up elsewhere cannot work as written, whatever its score."""
+    return not hollow(value) and not STORE.search(value) and (not STORE.search(before[-40:]) or bool(re.search(r"[,|:]\s*-?[\"'`]?$", before)))
 
 
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
@@ -410,68 +484,62 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-STATS = "pair long, n long, id string, line_no int, kind string, before string, value string, path string, y int, h long, whole array<double>"
+STATS = "y int, n long, id string, line_no int, kind string, works boolean, h long, dense array<float>, hashed array<int>, pairs array<int>, times array<long>"
+COLUMNS = [c.split()[0] for c in STATS.split(", ")]
+COUNTS = 8
 
 
-def survey(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One pass over all texts, written to the shared folder.
+def survey(rows: DataFrame) -> DataFrame:
+    """One pass over all texts, written to the shared folder: a row for every candidate, with its weak label (0, 1, or -1 if open).
 
-    Rows with ``pair >= 0`` are character pair counts; those with ``y = 9`` candidates to judge; those with ``y`` 0 or 1 the
-    labelled candidates of smallest hash, at most ``sample`` a label and task.
+    Rows with ``y = COUNTS`` are the character pair counts of a task.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(ALPHABET * ALPHABET, dtype=np.int64)
-        kept: tuple[dict, dict] = ({}, {})
         for b in batches:
             found = []
             for key, path, text in zip(b["id"], b["rel_path"], b["content"], strict=True):
                 c = classes(text)
                 if len(c) > 1:
                     total += np.bincount(c[:-1].astype(np.int32) * ALPHABET + c[1:], minlength=ALPHABET * ALPHABET)
+                line, at = 1, 0
                 for kind, before, value, spans in candidates(text):
-                    y = weak_label(kind, before, value)
-                    if y >= 0:
-                        h = xxhash.xxh64_intdigest(f"{kind}|{name_of(before)}|{value}".encode("utf-8", "replace")) >> 1
-                        kept[y][h] = (-1, 0, "", 0, kind, before, value if len(value) <= CARRIED else "", path or "", y, h, measured(kind, before, value, path or ""))
-                    if y != 0:
-                        found.append((-1, 0, key, text.count("\n", 0, spans[0][0]) + 1, kind, before, value if len(value) <= CARRIED else "", path or "", 9, 0, measured(kind, before, value, path or "")))
-            for y in (0, 1):
-                if len(kept[y]) > 2 * sample:
-                    for h in sorted(kept[y])[sample:]:
-                        del kept[y][h]
+                    line, at = line + text.count("\n", at, spans[0][0]), spans[0][0]
+                    h = xxhash.xxh64_intdigest(f"{kind}|{name_of(before)}|{value}".encode("utf-8", "replace")) >> 1
+                    found.append((weak_label(kind, before, value), 0, key, line, kind, works(before, value), h, *row_of(before, value, path or "", text, spans)))
             yield pd.DataFrame(found, columns=COLUMNS)
-        yield pd.DataFrame([kept[y][h] for y in (0, 1) for h in sorted(kept[y])[:sample]], columns=COLUMNS)
         k = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": k, "n": total[k], "id": "", "line_no": 0, "kind": "", "before": "", "value": "", "path": "", "y": 8, "h": 0, "whole": None})
+        yield pd.DataFrame([(COUNTS, 0, "", 0, "", False, 0, [], [], k.tolist(), total[k].tolist())], columns=COLUMNS)
 
-    return materialise(map_batches(rows, count, STATS), "credential-survey")
+    return materialise(map_batches(rows, look, STATS), "credential-survey")
 
 
 def train(seen: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from a survey; what reaches the driver is bounded by the alphabet and by ``sample``."""
     counts = np.zeros(ALPHABET * ALPHABET)
-    for r in seen.where("pair >= 0").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    pairs = seen.where(F.col("y") == COUNTS).select(F.explode(F.arrays_zip("pairs", "times")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.times").alias("n"))
+    for r in pairs.collect():
         counts[r.pair] = r.n
-    labelled = {}
+    total = {r.y: r.n for r in seen.where("y in (0, 1)").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = []
     for y in (0, 1):
-        of = seen.where(f"pair < 0 and y = {y}").select("h", "kind", "before", "value", "path", "y", "whole")
         # Hashes are even over 0..2^63, so about 2 * sample rows lie below this; no task returns more than its part of them.
-        below = min(1.0, 2 * sample / max(1, of.count())) * (2**63 - 1)
-        for r in of.where(F.col("h") <= F.lit(min(int(below), 2**63 - 1))).orderBy("h", "before", "path").limit(2 * sample).collect():
-            labelled.setdefault(r.h, tuple(r)[1:])
-    few = sorted(labelled.items())
-    order = np.random.default_rng(7).permutation(len(few))
-    return Model(counts.reshape(ALPHABET, ALPHABET), [few[i][1] for i in order])
+        below = min(1.0, 2 * sample / max(1, total.get(y, 0))) * (2**63 - 1)
+        of = seen.where(F.col("y") == y).where(F.col("h") <= F.lit(min(int(below), 2**63 - 1)))
+        once = of.groupBy("h").agg(F.min(F.struct("dense", "hashed", "pairs", "times")).alias("r")).orderBy("h").limit(sample)
+        labelled += [(r.h, Row(*r.r), y) for r in once.collect()]
+    labelled.sort(key=lambda x: x[0])
+    return Model(counts.reshape(ALPHABET, ALPHABET), [r for _, r, _ in labelled], [y for _, _, y in labelled], (total.get(0, 0), total.get(1, 0)))
 
 
-COLUMNS = ["pair", "n", "id", "line_no", "kind", "before", "value", "path", "y", "h", "whole"]
 FOUND = T.StructType(
     [
         T.StructField("id", T.StringType()),
         T.StructField("line_no", T.IntegerType()),
         T.StructField("kind", T.StringType()),
         T.StructField("score", T.DoubleType()),
+        T.StructField("y", T.IntegerType()),
     ]
 )
 
@@ -480,31 +548,36 @@ def usable(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "rel_path", "content").where("id is not null and content is not null and content <> ''")
 
 
-def find(chunks: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """``id, line_no, kind, score``: one row per chunk and line on which a credential starts."""
-    seen = survey(usable(chunks), sample)
-    shared = chunks.sparkSession.sparkContext.broadcast(train(seen, sample))
+def scored(seen: DataFrame, model: Model) -> DataFrame:
+    """``id, line_no, kind, score, y`` of every candidate of a survey that could work as written."""
+    shared = seen.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["score"] = shared.value.scores(list(zip(b["kind"], b["before"], b["value"], b["path"], b["whole"], strict=True)))
-            yield b.loc[b["score"] >= threshold, FOUND.names]
+            b["score"] = shared.value.scores([Row(*r) for r in zip(b["dense"], b["hashed"], b["pairs"], b["times"], strict=True)])
+            yield b[FOUND.names]
+
+    return map_batches(seen.where(F.col("y") != COUNTS).where("works").select("id", "line_no", "kind", "y", "dense", "hashed", "pairs", "times"), judge, FOUND)
 
-    judged = map_batches(seen.where("y = 9").select("id", "line_no", "kind", "before", "value", "path", "whole"), judge, FOUND)
+
+def find(chunks: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """``id, line_no, kind, score``: one row per chunk and line on which a credential starts."""
+    seen = survey(usable(chunks))
+    judged = scored(seen, train(seen, sample)).where(F.col("score") >= threshold)
     return judged.groupBy("id", "line_no").agg(F.max(F.struct("score", "kind")).alias("_b")).select("id", "line_no", "_b.kind", "_b.score")
 
 
 def redacted(chunks: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """``id, rel_path, content, n_redacted`` of every usable chunk, credentials replaced."""
     rows = usable(chunks)
-    shared = chunks.sparkSession.sparkContext.broadcast(train(survey(rows, sample), sample))
+    shared = chunks.sparkSession.sparkContext.broadcast(train(survey(rows), sample))
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, n = [], []
             for path, text in zip(b["rel_path"], b["content"], strict=True):
-                could = [c for c in candidates(text) if sound(*c[:3])]
-                ps = shared.value.scores([(k, before, v, path or "") for k, before, v, _ in could])
+                could = [c for c in candidates(text) if works(*c[1:3])]
+                ps = shared.value.scores([row_of(before, v, path or "", text, spans) for _, before, v, spans in could])
                 hits = [c[3] for c, p in zip(could, ps, strict=True) if p >= threshold]
                 texts.append(redact(text, [s for spans in hits for s in spans]) if hits else text)
                 n.append(len(hits))

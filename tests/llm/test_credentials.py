@@ -12,7 +12,7 @@ PEM = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab3/" * 16 + "\n" + "Zx9+" * 16 + "
 
 
 def lines(text):
-    return [text.count("\n", 0, s[0][0]) + 1 for k, b, v, s in c.candidates(text) if c.weak_label(k, b, v) == 1]
+    return [text.count("\n", 0, s[0][0]) + 1 for k, b, v, s in c.candidates(text) if c.weak_label(k, b, v) != 0]
 
 
 @pytest.mark.parametrize(
@@ -64,7 +64,7 @@ def test_not_found(text):
 
 def test_redaction_keeps_all_else():
     text = f'a = 1\r\nkey = """{PEM}"""\r\npassword = "Tr0ub4dor-9"  # keep\n'
-    spans = [s for k, b, v, ss in c.candidates(text) if c.sound(k, b, v) for s in ss]
+    spans = [s for k, b, v, ss in c.candidates(text) if c.works(b, v) for s in ss]
     out = c.redact(text, spans)
     assert out.startswith("a = 1\r\n") and out.endswith('password = "REDACTED"  # keep\n')
     assert out.count("\n") == text.count("\n") and "Ab3/" not in out and "dor-9" not in out
@@ -93,13 +93,30 @@ def test_finds_all_planted_and_nothing_else(spark):
     assert len(got) == len(set(got)) and set(got) == truth
 
 
+def labelled(rows):
+    return [(c.row_of(b, v, r[1], r[2], ss), y) for r in rows for k, b, v, ss in c.candidates(r[2]) if (y := c.weak_label(k, b, v)) >= 0]
+
+
 def test_model_is_right_on_held_out_candidates():
-    rows, _ = planted(800, 9)
-    lab = [(k, b, v, r[1], y) for r in rows for k, b, v, _ in c.candidates(r[2]) if (y := c.weak_label(k, b, v)) >= 0]
-    m = c.Model(np.ones((c.ALPHABET, c.ALPHABET)), lab[: len(lab) // 2])
-    rest = lab[len(lab) // 2 :]
-    p = m.scores([x[:4] for x in rest])
-    assert np.mean((p >= 0.5) == [bool(x[4]) for x in rest]) > 0.97
+    lab = labelled(planted(800, 9)[0])
+    half = len(lab) // 2
+    m = c.Model(np.ones((c.ALPHABET, c.ALPHABET)), [r for r, _ in lab[:half]], [y for _, y in lab[:half]])
+    p = m.scores([r for r, _ in lab[half:]])
+    assert np.mean((p >= 0.5) == [bool(y) for _, y in lab[half:]]) > 0.97
+
+
+def test_the_regression_decides_and_not_the_label(spark):
+    """Literals whose labels are left open, or wrong, are judged by what they look like."""
+    rows, truth = planted(600, 3)
+    for i in range(40):
+        rows.append((f"o{i}", f"src/o{i}.py", f'x = 1\nauth = "Bearer {"aB3xZ9qL0pK7"[i % 7 :]}mQ4w{i}tY8"', 1, 2, 0.5, "x"))
+    seen = c.survey(c.usable(spark.createDataFrame(rows, CHUNKS)))
+    got = c.scored(seen, c.train(seen)).collect()
+    assert {r.y for r in got} == {-1, 0, 1}
+    assert all(0 <= r.score <= 1 for r in got)
+    few = c.Model(np.ones((c.ALPHABET, c.ALPHABET)), [], [])  # no labelled rows: the examples alone
+    k, b, v, ss = c.candidates('db_password = "Xk29sLq1vv8"')[0]
+    assert few.scores([c.row_of(b, v, "a.py", 'db_password = "Xk29sLq1vv8"', ss)])[0] > 0.5
 
 
 def test_nulls_empty_and_long(spark):
@@ -127,17 +144,18 @@ def test_encoded_texts_without_credentials(text):
 
 def test_long_values_are_judged_whole_by_both_queries(spark):
     long = "Q7" * 2_100 + "plain" * 3_000
-    logp = np.log(np.random.default_rng(2).random((c.ALPHABET, c.ALPHABET)))
-    one = c.vector("named", 'password = "', long, "a.py", logp)
-    assert np.allclose(one, c.vector("named", 'password = "', "", "a.py", logp, c.measured("named", 'password = "', long, "a.py")))
-    assert one[3] == pytest.approx(2_100 / len(long)) and one[1] != pytest.approx(c.likelihood(long[:4096], logp))
+    text = f'password = "{long}"'
+    _, before, value, spans = c.candidates(text)[0]
+    row = c.row_of(before, value, "a.py", text, spans)
+    assert value == long and sum(row.times) == len(long) - 1 and row.dense[3] == pytest.approx(2_100 / len(long))
+    m = c.Model(np.random.default_rng(2).random((c.ALPHABET, c.ALPHABET)), [], [])
+    codes = c.classes(long).astype(int)
+    assert m.measures([row])[0][0] == pytest.approx(m.logp[codes[:-1] * c.ALPHABET + codes[1:]].mean())
     rows, truth = planted()
     rows += [("long", "src/long.py", f'x = 1\npassword = "{long}"', 1, 2, 0.5, "x"), ("pem", "src/k.py", 'key = """' + PEM.replace("Zx9+" * 16, ("Zx9+" * 16 + "\n") * 100) + '"""', 1, 2, 0.5, "x")]
     df = spark.createDataFrame(rows, CHUNKS)
-    seen = c.survey(c.usable(df)).where("y <> 8 and length(value) = 0").collect()
-    assert {r.id for r in seen if r.y == 9} == {"long", "pem"}
     found = {}
     for r in c.find(df).collect():
         found[r.id] = found.get(r.id, 0) + 1
     assert found == {r.id: r.n_redacted for r in c.redacted(df).collect() if r.n_redacted}
-    assert found["pem"] == 1 and {k for k in found if k[0] == "c"} == {k for k, _ in truth}
+    assert {k for k in found if k[0] == "c"} == {k for k, _ in truth}
