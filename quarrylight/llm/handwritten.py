@@ -10,9 +10,14 @@ into the same blocks wherever it stands, repeated there or not. Flags:
 * literals that no rule can shorten and little else: data saved as code;
 * long rules, or else blocks, that repositories share: copies of third-party code. The larger of both shares counts; a stretch
   copied into another text loses at its ends the block it has not whole, a file of under ``LONG`` tokens is no copy;
-* texts in which almost all lies on very long lines without blanks: minified scripts and styles;
-* what a file says of its origin in a comment line, the directory it is kept in, the name of a lock file, the head of compiled
-  output: exact evidence that stands by itself.
+* short rules that repositories share and that tell of an origin: symbols, pairs and, of comments, threes of neighbouring symbols
+  in the path, the comments and the code. What they tell is learned: a logistic regression a kind (lock file, third party,
+  declared generated, compiled) over the rules that files of several repositories share;
+* texts in which almost all lies on very long lines without blanks: minified scripts and styles.
+
+The regressions are fitted on a sample of files bounded by ``sample`` (those of the smallest hash of their id), labelled weakly by
+patterns for what files say of their origin, for directories and for names of lock files, and on a few fixed examples, so the method
+is the same for every number of files. The patterns label that sample only; no result is read off them.
 
 Defined results
 * null content, path and ext count as empty; empty files are never flagged;
@@ -73,6 +78,13 @@ COMPILED = re.compile(r"Object\.defineProperty\(exports, ?[\"']__esModule[\"']|_
 NUMBERED = re.compile(r"[A-Za-z_]*?[A-Za-z](\d{1,4})(?:_[a-z]+)?$")
 RANDOM = re.compile(r"(?=[^\n]*\d)(?=[^\n]*[A-Za-z])[A-Za-z0-9+/=_\-]{5,}$")
 MASK = (1 << 63) - 1
+LETTERS = re.compile(r"[^\W\d_]+")
+
+#: Files the regressions are fitted on, rules they may use, and files that have to share a rule.
+SAMPLE, RULES, FILES = 10_000, 8_192, 3
+#: Share of the files with a rule that have to be labelled for it to tell something.
+TELLING = 0.6
+KINDS = ("lock file", "third party", "declared generated", "compiled")
 
 
 def random_like(body: str) -> bool:
@@ -205,53 +217,202 @@ def serial(names: set[str]) -> int:
     return best
 
 
+# Fixed examples beside the sampled files: ``(kinds, path, text)``, as if files of ``COPIES`` repositories.
+COPIES = 12
+_BODY = "package a\n\nfunc Add(a, b int) int {\n\treturn a + b\n}\n"
+EXAMPLES = (
+    *(((0,), f"app/{n}", "{}") for n in sorted(LOCKS)),
+    *(((1,), f"app/{d}/lib/core.go", _BODY) for d in ("node_modules", "bower_components", "vendor", "third_party", "third-party", "3rdparty", "Pods", "site-packages", "Godeps", "external", "extern", "deps")),
+    *(((1,), "app/zip.go", f"// {t}\n" + _BODY) for t in ("This file is part of the zip library, version 1.2.", "Copyright (c) 2020 The Zip Authors.", "Copyright 2019 Zip contributors", "Copied verbatim from zip.", "Vendored copy of zip.", "See the upstream project.")),
+    *(((2,), "app/gen.go", f"// {t}\n" + _BODY) for t in ("Code generated by tool. DO NOT EDIT.", "@generated", "This file was automatically generated, do not edit by hand.", "autogenerated by tool", "auto-generated file", "Generated from api.json", "machine generated")),
+    *(((3,), "app/out.js", t) for t in ('"use strict";\nObject.defineProperty(exports, "__esModule", { value: true });\n', "a();\n//# sourceMappingURL=out.js.map\n", "var x = __webpack_require__(3);\n", "var x = _interopRequireDefault(y);\n", "var x = __importDefault(y);\n")),
+    *(((), f"app/{n}", t + _BODY) for n in ("main.go", "core/add.go", "lib/util/sum.go") for t in ("", "// Package a adds numbers.\n", "// Copyright 2024 Own. All rights reserved.\n", "// This module is written by hand, not generated.\n", "// Do not edit without a review.\n", '// "use strict" and exports are set elsewhere.\n')),
+    *(((), f"app/{n}", "{}") for n in ("package.json", "settings.json", "cargo.toml", "main.lock.go")),
+)
+
+
+class Names(dict):
+    """Hash of a word, filled as words come, bounded."""
+
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) & MASK | 1
+        if len(self) < 500_000:
+            self[word] = value
+        return value
+
+
+def short_rules(sym: np.ndarray, doc: np.ndarray, salt: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of one to ``most`` neighbouring symbols as ``(rule, file)``; literals are in none. Equal runs have equal names."""
+    one = mixed(sym.astype(np.int64).view(np.uint64) + np.uint64(salt))
+    names, files = [one[sym > 0]], [doc[sym > 0]]
+    whole, rule = sym > 0, one
+    for k in range(1, most):
+        if len(rule) < 2:
+            break
+        with np.errstate(over="ignore"):
+            rule = mixed(rule[:-1]) + one[k:]
+        whole = whole[:-1] & (sym[k:] > 0)
+        ok = whole & (doc[: len(rule)] == doc[k:])
+        names.append(rule[ok])
+        files.append(doc[: len(rule)][ok])
+    return np.concatenate(names).view(np.int64), np.concatenate(files)
+
+
+class Tokens:
+    """The tokens of a batch of files: symbols, the same with literals by what they are, words of comments, names of the path."""
+
+    def __init__(self, b: pd.DataFrame, symbols: Symbols, names: Names):
+        parts, exact, words, paths = [], [], [], []
+        self.rows = []
+        for path, ext, text in zip(b["rel_path"], b["ext"], b["content"], strict=True):
+            path, text = path or "", text or ""
+            base = path.rpartition("/")[2]
+            kind = (ext or ("." + base.rpartition(".")[2] if "." in base else "")).lstrip(".").lower()
+            toks = (SLASH if kind in SLASHED else HASH).findall(text)
+            s = np.fromiter(map(symbols.__getitem__, toks), dtype=np.int64, count=len(toks))
+            full = s.copy()
+            for k in np.flatnonzero(s < 0):  # in a block a literal counts as what it is
+                full[k] = xxhash.xxh64_intdigest(toks[k].encode("utf-8", "replace")) & MASK | 1
+            said = []
+            for k in np.flatnonzero(s == 0) if kind in SLASHED else [k for k, t in enumerate(toks) if t[0] == "#" or t.startswith(('"""', "'''"))]:
+                said.append(1)  # where a comment begins
+                said += map(names.__getitem__, LETTERS.findall(toks[k].lower()))
+            *folders, last = path.lower().split("/")
+            parts.append(s[s != 0])
+            exact.append(full[s != 0])
+            words.append(np.array(said, dtype=np.int64))
+            paths.append(np.array([names["/" + x] for x in folders] + [names[last]], dtype=np.int64))
+            self.rows.append((kind, toks, text))
+        self.n = len(self.rows)
+        self.sym, self.doc = self._flat(parts)
+        self.exact, _ = self._flat(exact)
+        self.words, self.word_doc = self._flat(words)
+        self.paths, self.path_doc = self._flat(paths)
+
+    def _flat(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64), np.repeat(np.arange(self.n), [len(x) for x in parts])
+
+    def rules(self) -> tuple[np.ndarray, np.ndarray]:
+        """Short rules of the path, the comments and the code, as ``(rule, file)``."""
+        got = [short_rules(self.paths, self.path_doc, 1, 2), short_rules(self.words, self.word_doc, 2, 3), short_rules(self.sym, self.doc, 3, 2)]
+        return np.concatenate([r for r, _ in got]), np.concatenate([d for _, d in got])
+
+
+def weak_labels(path: str, kind: str, text: str) -> tuple[bool, ...]:
+    """By pattern: what a file says of its origin, the directory it is kept in, the name of a lock file, the head of compiled output."""
+    return path.rpartition("/")[2].lower() in LOCKS, bool(ABROAD.search(path) or FOREIGN.search(text)), bool(GENERATED.search(text)), kind in SCRIPTS and bool(COMPILED.search(text))
+
+
+class Origins:
+    """What rules tell of the origin of files: their names in order, and a weight a kind; the last row of weights is the constant."""
+
+    def __init__(self, rule: np.ndarray, weight: np.ndarray):
+        self.rule, self.weight = rule, weight
+
+    def kinds(self, rule: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Log odds of each kind for ``n`` files with these rules."""
+        z = np.tile(self.weight[-1], (n, 1))
+        if len(self.rule):
+            at = np.searchsorted(self.rule, rule).clip(0, len(self.rule) - 1)
+            hit = np.unique(np.c_[doc, at][self.rule[at] == rule], axis=0)
+            for k in range(len(KINDS)):
+                z[:, k] += np.bincount(hit[:, 0], weights=self.weight[hit[:, 1], k], minlength=n)
+        return z
+
+    @classmethod
+    def fit(cls, rule: np.ndarray, files: list[np.ndarray], y: np.ndarray, steps: int = 300, l2: float = 3e-5) -> Origins:
+        """``files``: for each file the numbers of its rules; ``y``: its labels. Only rules that tell something are used."""
+        of = np.repeat(np.arange(len(files)), [len(f) for f in files])
+        col = np.concatenate(files).astype(np.int64) if files else np.zeros(0, dtype=np.int64)
+        some = y.any(axis=1)
+        n, pos = np.bincount(col, minlength=len(rule)), np.bincount(col, weights=some[of], minlength=len(rule))
+        tells = (pos >= FILES) & (pos >= TELLING * n)
+        new = np.cumsum(tells) - 1
+        of, col = of[tells[col]], new[col[tells[col]]]
+        rule = rule[tells]
+        w = np.zeros((len(rule) + 1, len(KINDS)))
+        for k in range(len(KINDS)):
+            v, past = np.zeros(len(rule) + 1), np.full(len(rule) + 1, 1e-8)
+            for _ in range(steps):
+                z = np.bincount(of, weights=v[col], minlength=len(files)) + v[-1]
+                e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[:, k]
+                g = np.r_[np.bincount(col, weights=e[of], minlength=len(rule)), e.sum()] / max(1, len(files)) + l2 * v
+                past += g * g
+                v -= g / np.sqrt(past)
+            w[:, k] = v
+        return cls(rule, w)
+
+
+def learn(files: DataFrame, sample: int = SAMPLE) -> Origins:
+    """The weights of short rules, from a sample of files. At most ``RULES`` rules, and their numbers in those files, reach the driver."""
+    rows = files.withColumn("_h", F.shiftrightunsigned(F.xxhash64("file_id"), 1))
+    # Hashes are even over 0..2^63, so about ``sample`` files lie below this.
+    below = min(1.0, sample / max(1, files.count())) * (2**63 - 1)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbols, names = Symbols(), Names()
+        for b in batches:
+            t = Tokens(b, symbols, names)
+            rule, doc = t.rules()
+            order = np.argsort(doc, kind="stable")
+            cut = np.searchsorted(doc[order], np.arange(t.n + 1))
+            yield pd.DataFrame(
+                {
+                    "root": [xxhash.xxh64_intdigest((r or "").encode()) >> 1 for r in b["root"]],
+                    "y": [sum(v << i for i, v in enumerate(weak_labels(p or "", k, x))) for p, (k, _, x) in zip(b["rel_path"], t.rows, strict=True)],
+                    "rules": [np.unique(rule[order[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)],
+                }
+            )
+
+    seen = materialise(map_batches(rows.where(F.col("_h") <= F.lit(min(int(below), 2**63 - 1))), look, "root long, y int, rules array<long>"), "rule-sample")
+    named = seen.where("y > 0").select("root", F.explode("rules").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b"))
+    given = pd.DataFrame({"rel_path": [p for _, p, _ in EXAMPLES], "ext": None, "content": [t for _, _, t in EXAMPLES]})
+    t = Tokens(given, Symbols(), Names())
+    own_rule, own_doc = t.rules()
+    several = {r.rule for r in named.where(F.col("a") != F.col("b")).where(F.col("n") >= FILES).orderBy(F.desc("n"), "rule").limit(RULES).collect()}
+    rule = np.array(sorted(several | set(own_rule.tolist())), dtype=np.int64)
+    shared = files.sparkSession.sparkContext.broadcast(rule)
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for b in batches:
+            got = []
+            for r in b["rules"]:
+                at = np.searchsorted(known, r).clip(0, max(0, len(known) - 1))
+                got.append(at[known[at] == r].astype(np.int32).tobytes())
+            yield pd.DataFrame({"y": b["y"], "at": got})
+
+    sampled = map_batches(seen.select("y", "rules"), number, "y int, at binary").collect()
+    own = [np.unique(np.searchsorted(rule, own_rule[own_doc == i])) for i in range(t.n)]
+    held = [np.frombuffer(r.at, dtype=np.int32) for r in sampled] + own * COPIES
+    y = [[r.y >> k & 1 for k in range(len(KINDS))] for r in sampled] + [[k in kinds for k in range(len(KINDS))] for kinds, _, _ in EXAMPLES] * COPIES
+    return Origins.fit(rule, held, np.array(y, dtype=float))
+
+
 STATS = (
     "file_id long, root string, tokens long, left_over long, values long, literal_ratio double, encoded double, reuse double, serial int, long_lines double, "
-    "declared boolean, foreign boolean, compiled boolean, lock boolean, long_rules array<struct<rule:long,tokens:int,block:boolean>>"
+    "told string, long_rules array<struct<rule:long,tokens:int,block:boolean>>"
 )
+COLUMNS = [c.split()[0] for c in STATS.split(", ")]
 
 
-def inspect(b: pd.DataFrame, symbols: Symbols) -> pd.DataFrame:
+def inspect(b: pd.DataFrame, symbols: Symbols, names: Names, origins: Origins) -> pd.DataFrame:
     """The statistics of a batch of files."""
-    parts, exact, rows, lengths = [], [], [], []
-    for fid, root, path, ext, text in zip(b["file_id"], b["root"], b["rel_path"], b["ext"], b["content"], strict=True):
-        path, text = path or "", text or ""
-        base = path.rpartition("/")[2]
-        kind = (ext or ("." + base.rpartition(".")[2] if "." in base else "")).lstrip(".").lower()
-        toks = (SLASH if kind in SLASHED else HASH).findall(text)
-        s = np.fromiter(map(symbols.__getitem__, toks), dtype=np.int64, count=len(toks))
-        names = s.copy()
-        for k in np.flatnonzero(s < 0):  # in a block a literal counts as what it is
-            names[k] = xxhash.xxh64_intdigest(toks[k].encode("utf-8", "replace")) & MASK | 1
-        exact.append(names[s != 0])
-        s = s[s != 0]
-        parts.append(s)
-        lengths.append(len(s))
-        dense = sum(len(x) for x in text.split("\n") if len(x) >= LINE)
+    t = Tokens(b, symbols, names)
+    n, sym, doc = t.n, t.sym, t.doc
+    serials, dense, chars_of = [], [], []
+    for kind, toks, text in t.rows:
+        serials.append(serial({x for x in set(toks) if x[0].isalpha() or x[0] == "_"}))
         blank = 1 - (text.count(" ") + text.count("\t")) / max(1, len(text)) * 10
-        marks = {t for t in set(toks) if t[0].isalpha() or t[0] == "_"}
-        rows.append(
-            (
-                fid,
-                root,
-                serial(marks),
-                dense / max(1, len(text)) if kind in SCRIPTS and blank > 0 else 0.0,
-                bool(GENERATED.search(text)) if "enerated" in text or "ENERATED" in text or re.search(r"(?i)automat|erzeugt|généré|生成|not edit|not modify|сгенер", text) else False,
-                bool(ABROAD.search(path)) or (bool(FOREIGN.search(text)) if re.search(r"(?i)copyright|\(c\)|copied|vendored|upstream|part of the|third[- ]party", text) else False),
-                bool(COMPILED.search(text)) if kind in SCRIPTS else False,
-                base.lower() in LOCKS,
-                len(text) - text.count(" ") - text.count("\n"),
-            )
-        )
-    n = len(rows)
-    sym = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    doc = np.repeat(np.arange(n), lengths)
+        dense.append(sum(len(x) for x in text.split("\n") if len(x) >= LINE) / max(1, len(text)) if kind in SCRIPTS and blank > 0 else 0.0)
+        chars_of.append(len(text) - text.count(" ") - text.count("\n"))
+    z = origins.kinds(*t.rules(), n)
     literal = sym < 0
     values = np.bincount(doc[literal], minlength=n)
     chars = np.bincount(doc[literal], weights=-sym[literal], minlength=n)
     left, where, size = repair(sym, doc)
     rest = np.bincount(where, minlength=n)
-    long_rules: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    long_rules: list[list[dict]] = [[] for _ in range(n)]
     rule = np.flatnonzero(size > 1)
     reuse = np.zeros(n)
     if len(rule):
@@ -263,28 +424,34 @@ def inspect(b: pd.DataFrame, symbols: Symbols) -> pd.DataFrame:
         for k in np.flatnonzero(size[order[first]] >= LONG):
             o = order[first[k]]
             long_rules[where[o]].append({"rule": int(left[o]), "tokens": int(size[o]) * int(uses[k]), "block": False})
-    for r, d, k in zip(*(x.tolist() for x in blocks(np.concatenate(exact) if exact else sym, doc)), strict=True):
+    for r, d, k in zip(*(x.tolist() for x in blocks(t.exact, doc)), strict=True):
         long_rules[d].append({"rule": r, "tokens": k, "block": True})
-    tokens = np.array(lengths, dtype=np.int64)
-    out = pd.DataFrame(rows, columns=["file_id", "root", "serial", "long_lines", "declared", "foreign", "compiled", "lock", "_chars"])
-    out["tokens"], out["left_over"], out["values"] = tokens, rest, values
+    tokens = np.bincount(doc, minlength=n)
+    out = pd.DataFrame({"file_id": b["file_id"].to_numpy(), "root": b["root"].to_numpy(), "tokens": tokens, "left_over": rest, "values": values})
     out["literal_ratio"] = values / np.maximum(1, rest)
-    out["encoded"] = chars / np.maximum(1, out["_chars"])
+    out["encoded"] = chars / np.maximum(1, chars_of)
     out["reuse"] = reuse / np.maximum(1, tokens)
+    out["serial"], out["long_lines"] = serials, dense
+    out["told"] = [KINDS[k] if best > 0 else None for k, best in zip(z.argmax(axis=1), z.max(axis=1), strict=True)]
     out["long_rules"] = long_rules
-    return out[["file_id", "root", "tokens", "left_over", "values", "literal_ratio", "encoded", "reuse", "serial", "long_lines", "declared", "foreign", "compiled", "lock", "long_rules"]]
+    return out[COLUMNS]
+
+
+def usable(files: DataFrame) -> DataFrame:
+    return files.select("file_id", "root", "rel_path", "ext", "content").where("file_id is not null and content <> ''")
 
 
-def grammar_stats(files: DataFrame) -> DataFrame:
+def grammar_stats(files: DataFrame, origins: Origins) -> DataFrame:
     """Statistics of the grammar of every file."""
+    shared = files.sparkSession.sparkContext.broadcast(origins)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbols = Symbols()
+        symbols, names = Symbols(), Names()
         for b in batches:
             for at in range(0, len(b), 500):
-                yield inspect(b.iloc[at : at + 500], symbols)
+                yield inspect(b.iloc[at : at + 500], symbols, names, shared.value)
 
-    return map_batches(files.select("file_id", "root", "rel_path", "ext", "content").where("file_id is not null and content <> ''"), run, STATS)
+    return map_batches(usable(files), run, STATS)
 
 
 def shared_tokens(stats: DataFrame) -> DataFrame:
@@ -294,15 +461,12 @@ def shared_tokens(stats: DataFrame) -> DataFrame:
     return join_small(rules, several, ["rule"], spread=F.col("file_id")).groupBy("file_id", "block").agg(F.sum("tokens").alias("shared")).groupBy("file_id").agg(F.max("shared").alias("shared"))
 
 
-def judged(files: DataFrame) -> DataFrame:
+def judged(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Every file with its statistics and ``reason``, null for what is hand-written."""
-    stats = materialise(grammar_stats(files), "grammars").dropDuplicates(["file_id"])
+    stats = materialise(grammar_stats(files, learn(usable(files), sample)), "grammars").dropDuplicates(["file_id"])
     all_ = stats.join(shared_tokens(stats), "file_id", "left").withColumn("shared", F.coalesce("shared", F.lit(0)) / F.greatest("tokens", F.lit(1)))
     reason = (
-        F.when(F.col("lock"), "lock file")
-        .when(F.col("foreign"), "third party")
-        .when(F.col("declared"), "declared generated")
-        .when(F.col("compiled"), "compiled")
+        F.when(F.col("told").isNotNull(), F.col("told"))
         .when(F.col("long_lines") >= 0.7, "minified")
         .when(((F.col("values") >= VALUES) & (F.col("literal_ratio") >= LITERALS)) | ((F.col("encoded") >= ENCODED) & (F.col("left_over") < 40)), "data")
         .when((F.col("serial") >= SERIAL) & (F.col("reuse") >= REUSE), "generated")
