@@ -6,6 +6,7 @@ Each leg is a plan of its own that ends in a top-k; only ids and scores are rank
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -81,20 +82,37 @@ def bm25(chunks: DataFrame, text: str, k: int | None = None, keep: Column | None
     per = asked.select("id", "_dl", *(F.size(F.filter("_q", _equals(w))).alias(f"_tf{i}") for i, w in enumerate(words)))
     seen = Observation()
     counted = per.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("_dl").alias("length"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
-    hit, score = F.lit(False), F.lit(0.0)
+    hit = F.lit(False)
     for i in range(len(words)):
         hit = hit | (F.col(f"_tf{i}") > 0)
     found = materialise(counted.where(hit), "bm25-hits")
     stats = seen.get
-    n = stats["n"]
-    mean = stats["length"] / n if n else 1.0
-    for i in range(len(words)):
-        t, df = F.col(f"_tf{i}"), stats[f"df{i}"]
-        score = score + F.lit(math.log(1 + (n - df + 0.5) / (df + 0.5))) * t * (BM25_K1 + 1) / (t + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_dl") / F.lit(mean)))
+    return _bm25_scored(found, stats["n"], stats["length"], [stats[f"df{i}"] for i in range(len(words))], k)
+
+
+def _bm25_scored(found: DataFrame, n: int, length: int | None, df: list[int], k: int | None) -> DataFrame:
+    """Scores of ``id, _dl, _tf0, _tf1 ...`` by the statistics of the corpus."""
+    mean, score = (length or 0) / n if n else 1.0, F.lit(0.0)
+    for i, d in enumerate(df):
+        t = F.col(f"_tf{i}")
+        score = score + F.lit(math.log(1 + (n - d + 0.5) / (d + 0.5))) * t * (BM25_K1 + 1) / (t + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_dl") / F.lit(mean or 1.0)))
     scored = found.select("id", F.round(score, 6).alias("score"))
     return scored if k is None else ranked(scored.orderBy(F.desc("score"), "id").limit(positive("k", k)))
 
 
+def bm25_indexed(postings: DataFrame, chunks: DataFrame, text: str, k: int | None = None, keep: Column | None = None) -> DataFrame:
+    """The same from an index: ``postings`` are ``term, id, tf`` of the terms of ``text``, ``chunks`` has ``id, n_terms``.
+
+    No text is read. The corpus statistics are of all chunks; the filter takes out hits.
+    """
+    words = query_terms(text)
+    counts = [F.coalesce(F.sum(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, w in enumerate(words)]
+    live = postings.groupBy("id").agg(*counts or [F.lit(0).alias("_tf0")]).join(chunks.withColumnRenamed("n_terms", "_dl"), "id")
+    whole = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum("n_terms").alias("length")).first()
+    df = live.agg(F.count(F.lit(1)), *(F.count_if(F.col(f"_tf{i}") > 0) for i in range(len(words)))).first()[1:]
+    return _bm25_scored(live if keep is None else live.where(keep), whole.n, whole.length, list(df), k)
+
+
 def rrf(legs: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """``id, rrf_score``: reciprocal ranks summed over the legs."""
     out = legs[0].select("id", "rank")
@@ -118,28 +136,56 @@ def demote_auxiliary(hits: DataFrame, limit: int, order: list[Column], path: str
     return hits.withColumn("_aux", F.coalesce(is_auxiliary(F.col(path)), F.lit(False))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("_aux")
 
 
+def rerank_query(params: str | None = None, sparse: str | None = None, dense: str | None = None) -> str:
+    """The text to rerank by: the one asked for, else that of the sparse leg, else that of the dense one."""
+    return next((t.strip() for t in (params, sparse, dense) if t and t.strip()), "")
+
+
 def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column] | None, query: str, text: str = "content") -> DataFrame:
-    """Hits with ``rank`` by a pluggable scorer, unscored ones last, ties as before; without one, or for a blank query, as they are.
+    """Hits with ``rank`` by a pluggable scorer, unscored ones last, ties as before.
 
-    A hit's text is its content, else its path, else all of it as JSON.
+    The order stays as it is without a scorer, for a blank query, for fewer than two hits, and where the scorer fails. ``hits`` is a
+    pool of bounded size: it is read once to find that out. A hit's text is its content, else its path, else all of it as JSON.
     """
     before = [F.desc("rrf_score"), F.col("id")]
+    plain = hits.withColumn("rank", F.row_number().over(W.orderBy(*before)))
     if scorer is None or not query.strip():
-        return hits.withColumn("rank", F.row_number().over(W.orderBy(*before)))
+        return plain
     shown = F.trim(F.coalesce(F.nullif(F.trim(F.col(text)), F.lit("")), F.nullif(F.trim(F.col("rel_path")), F.lit("")), F.to_json(F.struct("*"))))
-    scored = hits.withColumn("rerank_score", scorer(F.lit(query.strip()), shown))
-    return scored.withColumn("rank", F.row_number().over(W.orderBy(F.col("rerank_score").desc_nulls_last(), *before)))
+    try:
+        pool = materialise(hits.withColumn("rerank_score", scorer(F.lit(query.strip()), shown)), "rerank")
+        few = pool.limit(2).count() < 2
+    except Exception as e:
+        warnings.warn(f"the scorer failed, hits stay in their order: {str(e)[:200]}", stacklevel=2)
+        return plain
+    return plain if few else pool.withColumn("rank", F.row_number().over(W.orderBy(F.col("rerank_score").desc_nulls_last(), *before)))
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, vector: list[float], text: str, limit: int, keep: Column | None = None, vector_keep: Column | None = None, scorer=None, columns: tuple[str, ...] = ("rel_path", "start_line", "end_line", "ext", "content", "metadata")) -> DataFrame:
-    """Both legs, fused, hydrated, reranked, auxiliary files last, cut to ``limit``."""
-    limit = search_limit(limit)
-    dense = dense_topk(vectors, vector, rerank_pool(limit) if scorer else 2 * limit, vector_keep)
-    sparse = bm25(chunks.dropDuplicates(["id"]), text, sparse_pool(limit) if scorer else 2 * limit, keep)
-    live = chunks.select("id").distinct() if keep is None else chunks.where(keep).select("id").distinct()
+COLUMNS = ("rel_path", "start_line", "end_line", "ext", "content", "metadata")
+
+
+def pools(limit: int, reranked: bool) -> tuple[int, int]:
+    """Candidates of the dense and of the sparse leg."""
+    return (rerank_pool(limit), sparse_pool(limit)) if reranked else (2 * limit, 2 * limit)
+
+
+def fused_search(dense: DataFrame, sparse: DataFrame, chunks: DataFrame, text: str, limit: int, keep: Column | None = None, scorer=None, columns: tuple[str, ...] = COLUMNS, query: str | None = None) -> DataFrame:
+    """Two top-k legs fused, hydrated, reranked, auxiliary files last, cut to ``limit``.
+
+    A dense hit without a chunk, or whose chunk the filter takes out, is none; the hits, at most ``DENSE_MAX``, are sent to the chunks.
+    """
+    of = chunks if keep is None else chunks.where(keep)
+    live = of.join(F.broadcast(dense.select("id")), "id", "left_semi").select("id").distinct()
     fused = rrf([dense.join(live, "id", "left_semi"), sparse])
     top = fused.orderBy(F.desc("rrf_score"), "id").limit(rerank_pool(limit))
-    return demote_auxiliary(rerank(hydrate(top, chunks, list(columns)), scorer, text), limit, [F.col("rank")])
+    return demote_auxiliary(rerank(hydrate(top, chunks, list(columns)), scorer, rerank_query(query, text)), limit, [F.col("rank")])
+
+
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, vector: list[float], text: str, limit: int, keep: Column | None = None, vector_keep: Column | None = None, scorer=None, columns: tuple[str, ...] = COLUMNS, query: str | None = None) -> DataFrame:
+    """Both legs over tables without an index; ``id`` is unique in ``chunks``, so their texts are not shuffled."""
+    limit = search_limit(limit)
+    wide, deep = pools(limit, scorer is not None)
+    return fused_search(dense_topk(vectors, vector, wide, vector_keep), bm25(chunks, text, deep, keep), chunks, text, limit, keep, scorer, columns, query)
 
 
 def enclosing_symbols(hits: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,17 +21,51 @@ BROADCAST_ROWS = 50_000
 SALTS = 32
 
 
+_left: dict[str, list] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """Folder shared by all executors. The session's ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    """Folder shared by all executors: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder of this machine is set in local mode; on a cluster, whose executors would each write to
+    a disk of their own, it is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         shared = "file://" + os.path.join(tempfile.gettempdir(), "quarrylight-scratch")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{scratch_root(spark)}/quarrylight/{what}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, removed by ``release`` or when this program ends."""
+    path = f"{scratch_root(spark)}/quarrylight/{what}-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.register(_release_all)
+    _left.setdefault(spark.sparkContext.applicationId, []).append((spark, path))
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this session; results that were not read yet cannot be read any more."""
+    for s, path in _left.pop(spark.sparkContext.applicationId, []):
+        _delete(s, path)
+
+
+def _release_all() -> None:
+    for app in list(_left):
+        for s, path in _left.pop(app):
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file:").removeprefix("//"), ignore_errors=True)
+            elif s.sparkContext._jsc is not None:  # the session has not been stopped
+                _delete(s, path)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -73,7 +109,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_quarrylight_sent", False):
         return
     here = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="quarrylight-")) / "quarrylight.zip"
+    target = Path(tempfile.mkdtemp(prefix="quarrylight-")) / "quarrylight.zip"  # read by the driver, which sends it
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(here.rglob("*.py")):
             z.write(f, Path("quarrylight") / f.relative_to(here))

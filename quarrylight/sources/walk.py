@@ -2,7 +2,9 @@
 
 ``spark.read.format("codewalk").option("root", dir).load()`` gives one row a text file, whatever its name begins with and also if
 it is empty. The driver walks directories only (ignore files have to be read from the top); files are opened by the tasks, in
-groups of bounded size. Reading the same source as a stream gives what is new or changed since the last trigger.
+groups of bounded size. ``listing`` gives the same files without opening them, ``read_listed`` opens those of a table. Reading the
+source as a stream gives what is new or of another size or mtime since the last trigger: each offset names a list of files kept
+beside the stream's checkpoint, and its files are opened by the tasks.
 
 Ignore rules: those of the user's and the repository's exclude files, then ``.gitignore`` and ``.indexignore`` of the root, then
 given patterns; nested folders add their own two files. The last rule that matches decides, ``!`` takes back, and nothing below
@@ -12,21 +14,25 @@ an ignored folder is seen. An unreadable folder or file fails the scan.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from quarrylight.session import ship
+from quarrylight.session import map_batches, ship
 
 # Folders never entered.
 SKIPPED = frozenset({"node_modules", "vendor", "__pycache__", ".git", "dist", "build", ".next", "target", "bin", "obj", ".tox", ".venv", "venv", ".codeindex"})
 SNIFF = 512
 SCHEMA = "root string, abs_path string, rel_path string, ext string, size bigint, mtime_ns bigint, hash string, content string"
+LISTED = "root string, abs_path string, rel_path string, size bigint, mtime_ns bigint"
+# How texts in markup begin, of the public rules for telling kinds of content by its first bytes.
 TAGS = (b"<!doctype html", b"<html", b"<head", b"<script", b"<iframe", b"<h1", b"<div", b"<font", b"<table", b"<a", b"<style", b"<title", b"<b", b"<body", b"<br", b"<p", b"<!--", b"<?xml")
 
 
@@ -116,10 +122,16 @@ def is_text(sample: bytes) -> bool:
         return False
     if sample.startswith((b"\xef\xbb\xbf", b"\xfe\xff", b"\xff\xfe")) or sample.lstrip(b"\t\n\x0c\r ").lower().startswith(TAGS):
         return True
-    if sample.startswith((b"%PDF-", b"%!PS-Adobe-")):
+    if any(b < 0x20 and b not in (9, 10, 12, 13) for b in sample):
         return False
-    if not any(b < 0x20 and b not in (9, 10, 12, 13, 27) for b in sample):
-        return True
+    # the sample may end inside a character
+    for cut in range(4):
+        try:
+            sample[: len(sample) - cut].decode("utf-8")
+            return True
+        except UnicodeDecodeError as e:
+            if len(sample) < SNIFF or e.start < len(sample) - 4:
+                return False
     return False
 
 
@@ -175,38 +187,84 @@ def groups(files: Iterator[tuple[str, str, int, int]], size: int, count: int = 2
     return [*out, _Files(part)] if part else out
 
 
+def _patterns(options: dict[str, str]) -> list[str]:
+    return [p for p in json.loads(options.get("ignore") or "[]") if p.strip()]
+
+
 class WalkReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = os.path.normpath(options["root"])
-        self.extra = [p.strip() for p in options.get("ignore", "").split(",") if p.strip()]
+        self.extra = _patterns(options)
         self.size = int(options.get("partitionbytes", 32 << 20))
+        self.only = json.loads(options["only"]) if options.get("only") else None
+        self.opened = options.get("opened", "true") == "true"
 
     def partitions(self):
-        return groups(walk(self.root, self.extra), self.size) or [_Files([])]
+        if self.only is None:
+            return groups(walk(self.root, self.extra), self.size if self.opened else 1 << 62) or [_Files([])]
+        there = []
+        for rel in self.only:
+            try:
+                s = os.stat(os.path.join(self.root, rel), follow_symlinks=False)
+            except FileNotFoundError:
+                continue
+            if stat.S_ISREG(s.st_mode):
+                there.append((os.path.join(self.root, rel), rel, s.st_size, s.st_mtime_ns))
+        return groups(iter(there), self.size) or [_Files([])]
 
     def read(self, partition):
         for f in partition.files:
-            if row := read_file(self.root, *f):
+            if not self.opened:
+                yield self.root, *f
+            elif row := read_file(self.root, *f):
                 yield row
 
 
-class WalkStream(SimpleDataSourceStreamReader):
-    """Files whose size or mtime is not what it was at the trigger before."""
+class WalkStream(DataSourceStreamReader):
+    """Files that are new, or whose size or mtime is not what it was at the trigger before.
+
+    The lists that offsets name are written to ``state``, a folder the tasks need not see: the driver alone reads it.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.reader = WalkReader(options)
+        self.state = options.get("state") or ""
+        if not self.state:
+            raise ValueError("the stream needs the option state, a folder for what it has seen")
 
     def initialOffset(self):
-        return {"since": -1}
+        return {"seen": ""}
+
+    def _seen(self, name: str) -> dict[str, list[int]]:
+        if not name:
+            return {}
+        with open(os.path.join(self.state, name), encoding="utf-8") as f:
+            return json.load(f)
+
+    def latestOffset(self):
+        now = {rel: [size, mtime] for _, rel, size, mtime in walk(self.reader.root, self.reader.extra)}
+        text = json.dumps(now, sort_keys=True)
+        name = hashlib.sha256(text.encode()).hexdigest()
+        os.makedirs(self.state, exist_ok=True)
+        if not os.path.exists(target := os.path.join(self.state, name)):
+            with open(f"{target}.{os.getpid()}", "w", encoding="utf-8") as f:
+                f.write(text)
+            os.replace(f.name, target)
+        return {"seen": name}
+
+    def partitions(self, start, end):
+        old, new = self._seen(start["seen"]), self._seen(end["seen"])
+        changed = [(os.path.join(self.reader.root, rel), rel, *at) for rel, at in sorted(new.items()) if old.get(rel) != at]
+        return groups(iter(changed), self.reader.size) or [_Files([])]
 
-    def read(self, start):
-        files = [f for f in walk(self.reader.root, self.reader.extra) if f[3] > start["since"]]
-        rows = [r for f in files if (r := read_file(self.reader.root, *f))]
-        return iter(rows), {"since": max([start["since"], *(f[3] for f in files)])}
+    def read(self, partition):
+        return self.reader.read(partition)
 
-    def readBetweenOffsets(self, start, end):
-        files = [f for f in walk(self.reader.root, self.reader.extra) if start["since"] < f[3] <= end["since"]]
-        return iter([r for f in files if (r := read_file(self.reader.root, *f))])
+    def commit(self, end):
+        for name in os.listdir(self.state):
+            # the list of this offset stays; older ones are of no use, newer ones cannot be there yet
+            if name != end["seen"] and os.path.getmtime(os.path.join(self.state, name)) < os.path.getmtime(os.path.join(self.state, end["seen"])):
+                os.unlink(os.path.join(self.state, name))
 
 
 class WalkSource(DataSource):
@@ -215,17 +273,39 @@ class WalkSource(DataSource):
         return "codewalk"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA if self.options.get("opened", "true") == "true" else LISTED
 
     def reader(self, schema):
         return WalkReader(dict(self.options))
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return WalkStream(dict(self.options))
 
 
-def scan(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
-    """Text files below ``root``."""
+def _source(spark: SparkSession, root: str, ignore: list[str]):
     ship(spark)
     spark.dataSource.register(WalkSource)
-    return spark.read.format("codewalk").option("root", root).option("ignore", ",".join(ignore)).load()
+    return spark.read.format("codewalk").option("root", root).option("ignore", json.dumps(list(ignore)))
+
+
+def scan(spark: SparkSession, root: str, ignore: list[str] = (), only: list[str] | None = None) -> DataFrame:
+    """Text files below ``root``; with ``only`` those of these relative paths, and nothing else is looked at."""
+    source = _source(spark, root, ignore)
+    return (source if only is None else source.option("only", json.dumps(list(only)))).load()
+
+
+def listing(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
+    """The files below ``root`` with size and mtime; none of them is opened, so binary ones are among them."""
+    return _source(spark, root, ignore).option("opened", "false").load()
+
+
+def read_listed(files: DataFrame) -> DataFrame:
+    """The text files among rows of ``listing``, opened by the tasks."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 50):
+                got = [read_file(*r) for r in b.iloc[at : at + 50].itertuples(index=False, name=None)]
+                yield pd.DataFrame([r for r in got if r], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return map_batches(files.select("root", "abs_path", "rel_path", "size", "mtime_ns"), read, SCHEMA)

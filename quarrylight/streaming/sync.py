@@ -11,7 +11,9 @@ if TYPE_CHECKING:
 
 
 def due(engine: Engine, roots: list[str]) -> list[str]:
-    """Roots that may be synchronised now: those whose last run ended well."""
+    """Roots that may be synchronised now: those whose last run ended well. Runs that were left by a dead program are marked."""
+    for r in roots:
+        engine.recover(r)
     return [r for r in roots if (s := engine.state(r)) and s.status == "indexed"]
 
 
@@ -26,11 +28,12 @@ def sync_once(engine: Engine, roots: list[str]) -> dict[str, dict]:
     return out
 
 
-def watch(engine: Engine, roots: list[str], seconds: int = 60, **trigger) -> StreamingQuery | None:
-    """Synchronise ``roots`` every ``seconds``, the first time after one interval; 0 turns it off.
+def watch(engine: Engine, roots: list[str], seconds: int | None = None, **trigger) -> StreamingQuery | None:
+    """Synchronise ``roots`` every ``seconds`` (the engine's setting if None), the first time after one interval; 0 turns it off.
 
     The clock is a streaming source, so a run also happens when files were only deleted; runs never overlap.
     """
+    seconds = engine.sync_seconds if seconds is None else seconds
     if seconds < 0:
         raise ValueError("the interval cannot be negative")
     if seconds == 0:

@@ -30,7 +30,7 @@ def test_links_are_skipped_and_relative_roots_refused(tmp_path):
         list(w.walk("relative"))
 
 
-@pytest.mark.parametrize(("raw", "text"), [(b"", True), (b"abc\n", True), (b"a\0b", False), (b"\xef\xbb\xbfx", True), (b"\x01\x02\x03", False), ("é".encode(), True), (b"%PDF-1", False)])
+@pytest.mark.parametrize(("raw", "text"), [(b"", True), (b"abc\n", True), (b"a\0b", False), (b"\xef\xbb\xbfx", True), (b"\x01\x02\x03", False), ("é".encode(), True), (b"%PDF-1", True), (b"caf\xc3", False), (b"x" * 511 + b"\xc3\xa9", True), (b"\x1b[1m", False)])
 def test_sniff(raw, text):
     assert w.is_text(raw) is text
 
@@ -57,3 +57,77 @@ def test_engine_end_to_end(spark, tmp_path):
     assert "indexed" in e.status(str(src)) and e.index(str(src))["added"] == 0
     e.clear(str(src))
     assert e.state(str(src)) is None
+
+
+def test_patterns_may_hold_commas(tmp_path, spark):
+    tree(tmp_path, {"x,y.log": "a", "x": "b"})
+    assert [r.rel_path for r in w.scan(spark, str(tmp_path), ["x,y.log"]).collect()] == ["x"]
+    assert [(r.rel_path, r.size) for r in w.listing(spark, str(tmp_path)).orderBy("rel_path").collect()] == [("x", 1), ("x,y.log", 1)]
+    assert [r.rel_path for r in w.scan(spark, str(tmp_path), only=["x", "gone"]).collect()] == ["x"]
+
+
+def test_stream_sees_new_older_and_resized_files(spark, tmp_path):
+    src = tmp_path / "src"
+    tree(src, {"a.py": "a = 1\n"})
+
+    def batch(n):
+        w.scan(spark, str(src))  # registers the source
+        s = spark.readStream.format("codewalk").option("root", str(src)).option("state", str(tmp_path / "seen")).load()
+        out = f"{tmp_path}/out{n}"
+        q = s.writeStream.foreachBatch(lambda df, i: df.select("rel_path").write.mode("append").parquet(out)).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(r.rel_path for r in spark.read.schema("rel_path string").parquet(out).collect()) if os.path.exists(out) else []
+
+    assert batch(0) == ["a.py"]
+    at = os.stat(src / "a.py").st_mtime
+    tree(src, {"old.py": "b = 2\n", "same.py": "c = 3\n"})
+    os.utime(src / "old.py", (at - 1000, at - 1000))
+    os.utime(src / "same.py", (at, at))
+    assert batch(1) == ["old.py", "same.py"]
+    tree(src, {"a.py": "a = 10\n"})
+    os.utime(src / "a.py", (at, at))
+    assert batch(2) == ["a.py"]
+
+
+def test_only_changed_files_are_opened_and_search_reads_no_tree(spark, tmp_path, monkeypatch):
+    src, base = tmp_path / "src", f"file://{tmp_path}/base"
+    tree(src, {f"d/f{i}.py": f"def fun_{i}():\n    return {i}\n" for i in range(5)})
+    e = Engine(spark, base, ignore=["*.skip"])
+    e.index(str(src))
+    asked = []
+    real = w.read_listed
+    monkeypatch.setattr("quarrylight.api.read_listed", lambda df: asked.append(sorted(r.rel_path for r in df.collect())) or real(df))
+    tree(src, {"d/f1.py": "def other():\n    return 100\n", "d/x.skip": "no", "d/y.tmp": "no"})
+    e.index(str(src), ignore=["*.tmp"])
+    assert asked == [["d/f1.py"]]
+    assert list(e.state(str(src)).ignore_patterns) == ["*.skip", "*.tmp"]
+    name = e.collection(os.path.realpath(src))
+    rows = e.store.read(name).collect()
+    assert len(rows) == 5 and all(len(r.embedding) == e.dimension and r.n_terms > 0 for r in rows)
+    hits = e.search(str(src), "other", 3)
+    assert hits.collect()[0].rel_path == "d/f1.py"
+    plan = e.store.postings(name, ["other"])._jdf.queryExecution().toString()
+    assert "EqualTo(term,other)]" in plan and "EqualTo(bucket," in plan
+
+
+def test_interrupted_runs_locks_and_moves(spark, tmp_path):
+    src, base = tmp_path / "src", f"file://{tmp_path}/base"
+    tree(src, {"a.py": "a = 1\n"})
+    e, root = Engine(spark, base), os.path.realpath(src)
+    e.index(root)
+    e._put(root, status="indexing")  # as a program that died leaves it
+    assert e.index(root)["files"] == 1 and e.state(root).status == "indexed"
+    e._put(root, status="indexing")
+    assert e.recover(root) and e.state(root).status == "failed"
+    with e._lock(root):
+        with pytest.raises(Refused, match="in progress"):
+            e.index(root)
+        with pytest.raises(Refused):
+            e.clear(root, wait=0.5)
+        e._put(root, status="indexing")
+        assert not e.recover(root)
+        assert e.search_text(f"{root}", "a").startswith("The index is not complete yet.")
+    with pytest.raises(Refused, match="started in"):
+        e.index(os.path.dirname(os.getcwd()))
+    src.rename(tmp_path / "moved")
+    assert e.repair_moved() == [root] and e.roots() == []
