@@ -113,8 +113,8 @@ class ChunkStore:
         v = t.latest()
         v = 0 if v is None else v + 1
         long = len(t.versions()) >= LOG
-        of = self.read(name).select("id", "content").unionByName(rows.select("id", "content")) if long else rows
-        words = of.select("id", F.explode(terms(F.coalesce(F.col("content"), F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))  # of an id that is there twice the greatest counts when read
+        of = self.read(name).select("id", "content").join(rows.select("id"), "id", "left_anti").unionByName(rows.select("id", "content")) if long else rows
+        words = of.select("id", F.explode(terms(F.coalesce(F.col("content"), F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         found = words.select(bucket_of(F.col("term")).alias("bucket"), "term", "id", "tf").repartition(F.col("bucket")).sortWithinPartitions("bucket", "term")
         if long:
             t.compact(found, v)
