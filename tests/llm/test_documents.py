@@ -54,11 +54,27 @@ def test_kinds_and_items(spark):
     p = "one two three four five six seven eight nine ten eleven twelve"
     df = spark.createDataFrame([(7, p)], "item_id long, passage string")
     found = leakage.leaks(docs(spark, "say: " + p.upper(), "one two three four five six, or seven eight nine ten eleven twelve", "one two three four five and six"), df)
-    assert sorted((r.doc_id, r.kind, r.longest, r.share) for r in found.collect()) == [(0, "exact", 12, 1.0), (1, "proximity", 6, 1.0)]
+    assert sorted((r.doc_id, r.kind, r.longest, r.share, r.span) for r in found.collect()) == [(0, "exact", 12, 1.0, 12), (1, "proximity", 6, 1.0, 13)]
+    far = leakage.leaks(docs(spark, "one two three four five six " + "x " * 40 + "seven eight nine ten eleven twelve"), df).first()
+    assert (far.kind, far.span) == ("scattered", 52)
     assert [tuple(r) for r in leakage.leaked_items(found).collect()] == [(7, 2, 1)]
     assert leakage.leaks(docs(spark).limit(0), df).count() == 0 and leakage.leaks(docs(spark, p), df.limit(0)).count() == 0
 
 
+def test_the_index_holds_all_postings_and_serves_other_test_sets(spark):
+    texts = ["b a b c " * 300, "a", "zz b"]
+    d = docs(spark, *texts)
+    made = leakage.index(d)
+    n = {r.word: r.n for r in made.groupBy("word").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    h = leakage.Hashes()
+    assert {w: n[h[w]] for w in ("a", "b", "c", "zz")} == {"a": 301, "b": 601, "c": 300, "zz": 1} and len(n) == 5
+    for p in ("a b c b a b c", "b a b c b a b"):
+        df = spark.createDataFrame([(1, p)], "item_id long, passage string")
+        assert [(r.doc_id, r.item_id) for r in leakage.leaks(d, df, postings=made).collect()] == [(0, 1)]
+    for gaps in ([3], [1, 300, 301], [70_000, 70_001]):
+        assert leakage.unpacked(leakage.packed(__import__("numpy").array(gaps))).tolist() == gaps
+
+
 # repetition -----------------------------------------------------------------------------------------------------------
 
 
