@@ -67,8 +67,8 @@ def _equals(word: str) -> Callable[[Column], Column]:
     return lambda x: x == word
 
 
-def bm25(chunks: DataFrame, text: str, k: int | None = None, keep: Column | None = None, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """``id, score[, rank]`` by BM25 of the terms of ``text``.
+def bm25(chunks: DataFrame, text: str, k: int | None = None, keep: Column | None = None, id_col: str = "id", text_col: str = "content", repeated: bool = False) -> DataFrame:
+    """``id, score[, rank]`` by BM25 of the terms of ``text``; ``repeated``: rows of one id may be there more than once.
 
     The corpus statistics are of all chunks that pass the filter. One pass cuts every text down to the query's terms, observes the
     statistics and writes the hits; texts are neither shuffled nor read again.
@@ -80,6 +80,8 @@ def bm25(chunks: DataFrame, text: str, k: int | None = None, keep: Column | None
         return docs.select("id", F.lit(0.0).alias("score"), *([F.lit(0).alias("rank")] if k is not None else [])).limit(0)
     asked = docs.select("id", F.size("_t").alias("_dl"), F.filter("_t", lambda x: x.isin(*words)).alias("_q"))
     per = asked.select("id", "_dl", *(F.size(F.filter("_q", _equals(w))).alias(f"_tf{i}") for i, w in enumerate(words)))
+    if repeated:  # counts are compared, not texts
+        per = per.dropDuplicates(["id"])
     seen = Observation()
     counted = per.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("_dl").alias("length"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
     hit = F.lit(False)

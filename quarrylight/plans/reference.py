@@ -1,6 +1,6 @@
 """Queries over the engine's own operators and their SQL.
 
-Files are ``code_files`` (a row a file), stored chunks ``chunks``, manifests the two last ended runs of each root (queries named
+Files are ``code_files``, stored chunks ``chunks`` (of both, identical repeated rows count once), manifests the two last ended runs of each root (queries named
 ``*_history``: all pairs of consecutive ended runs, by the later one), vectors ``embeddings`` (``vec_id`` stands for the chunk of that number in order of ids), lifecycle events ``events``.
 """
 
@@ -21,18 +21,19 @@ QUESTION = "restore the lazy token handler"
 KEY = ["root", "rel_path"]
 RUN = ["root", "run_id"]
 EACH = [*RUN, "rel_path"]
-PAIR = ["abs_path"]
+NODES = ("method_declaration", "function_item", "class_definition", "interface_declaration", "mod_item", "lexical_declaration", "pair", "import_statement", "rule_set", "arrow_function", "type_spec", "block")
 
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "code_files").dropDuplicates(["file_id"])
-    return f.withColumn("ext", F.coalesce("ext", code.effective_ext(F.col("rel_path"))))
+def files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Rows of ``code_files`` with ``ext`` filled. Identical repeated rows are still there: results are made distinct, not texts."""
+    f = table(spark, d, "code_files").withColumn("ext", F.coalesce("ext", code.effective_ext(F.col("rel_path"))))
+    return f.select(*columns).distinct() if columns else f
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Stored chunks, a row an id. Of rows that differ in null columns only, the filled one counts."""
+def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Stored chunks, identical repeated rows once, by the columns asked for; with none all rows and columns."""
     c = table(spark, d, "chunks")
-    return c.groupBy("id").agg(*(F.max(x).alias(x) for x in c.columns if x != "id"))
+    return c.select(*columns).distinct() if columns else c
 
 
 _C = """c as (select id, max(file_id) as file_id, max(rel_path) as rel_path, max(ext) as ext, max(start_line) as start_line, max(end_line) as end_line,
@@ -77,15 +78,15 @@ def _changes(spark, d):
 def entity_project(spark, d):
     f = chunks(spark, d).select("rel_path", "ext", "start_line", "end_line", "content", F.get_json_object("metadata", "$.codebasePath").alias("root"))
     f = f.where("end_line is not null")
-    return chunking.to_entities(f, F.col("root")).select("id", "rel_path", "start_line", "end_line", "ext", F.sha2("content", 256).alias("content_hash"))
+    return chunking.to_entities(f, F.col("root")).select("id", "rel_path", "start_line", "end_line", "ext", F.sha2("content", 256).alias("content_hash")).distinct()
 
 
 def payload_bytes(spark, d):
-    return chunks(spark, d).select("id", code.json_size(F.col("content")).cast("long").alias("bytes"))
+    return chunks(spark, d).select("id", code.json_size(F.col("content")).cast("long").alias("bytes")).distinct()
 
 
 def aux_flag(spark, d):
-    return files(spark, d).select("file_id", code.is_auxiliary(F.col("rel_path")).alias("auxiliary"))
+    return files(spark, d, "file_id", "rel_path").select("file_id", code.is_auxiliary(F.col("rel_path")).alias("auxiliary"))
 
 
 def effective_ext(spark, d):
@@ -97,18 +98,18 @@ def collections(spark, d):
 
 
 def symbol_kinds(spark, d):
-    nodes = [(x,) for x in ("method_declaration", "function_item", "class_definition", "interface_declaration", "mod_item", "lexical_declaration", "pair", "import_statement", "rule_set", "arrow_function", "type_spec", "block")]
+    nodes = [(x,) for x in NODES]
     return spark.createDataFrame(nodes, "node string").select("node", code.symbol_kind(F.col("node")).alias("kind"))
 
 
 def language_files(spark, d):
-    f = files(spark, d).select("file_id", "ext")
+    f = files(spark, d, "file_id", "ext")
     return join_small(f, table(spark, d, "languages"), ["ext"], "left", spread=F.col("file_id")).groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def line_split(spark, d):
-    lines = files(spark, d).where("content <> ''").select("file_id", F.posexplode(code.split_lines(F.col("content"))).alias("pos", "line"))
-    return lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max(F.length("line")).alias("longest"))
+    lines = files(spark, d).where("content <> ''").select("file_id", code.split_lines(F.col("content")).alias("l"))
+    return lines.select("file_id", F.size("l").cast("long").alias("n_lines"), F.array_max(F.transform("l", lambda x: F.length(x))).alias("longest")).distinct()
 
 
 def fixed_window_chunks(spark, d):
@@ -203,35 +204,35 @@ def stale_results_history(spark, d):
 
 
 def chunk_counts(spark, d):
-    return manifest.chunk_counts(chunks(spark, d))
+    return manifest.chunk_counts(chunks(spark, d, "id", "rel_path"))
 
 
 def file_chunk_ids(spark, d):
-    return manifest.chunk_ids(chunks(spark, d))
+    return manifest.chunk_ids(chunks(spark, d, "id", "rel_path", "start_line"))
 
 
 def completed_files(spark, d):
-    c = chunks(spark, d)
+    c = chunks(spark, d, "id", "rel_path", "end_line")
     return manifest.completed_files(c, c.where("end_line is not null"))
 
 
 def stale_ids(spark, d):
-    c = chunks(spark, d)
+    c = chunks(spark, d, "id", "rel_path", "start_line")
     return manifest.stale_ids(c, c.where("start_line < 60")).select("rel_path", "id")
 
 
 def chunk_count_update(spark, d):
-    f = files(spark, d).select("rel_path", F.lit(0).alias("chunk_count"), "size", "mtime_ns")
-    return manifest.with_chunk_counts(f, manifest.chunk_counts(chunks(spark, d))).select("rel_path", "chunk_count")
+    f = files(spark, d, "rel_path", "size", "mtime_ns").withColumn("chunk_count", F.lit(0))
+    return manifest.with_chunk_counts(f, manifest.chunk_counts(chunks(spark, d, "id", "rel_path"))).select("rel_path", "chunk_count")
 
 
 def _filtered(text):
-    return lambda spark, d: chunks(spark, d).where(compile_filter(text)).select("id", "rel_path", "start_line", "end_line")
+    return lambda spark, d: chunks(spark, d).where(compile_filter(text)).select("id", "rel_path", "start_line", "end_line").distinct()
 
 
 def hydrate(spark, d):
     c = chunks(spark, d)
-    return search.hydrate(search.bm25(c, QUESTION, 20), c, ["rel_path", "start_line", "end_line", "metadata", "none_such"])
+    return search.hydrate(search.bm25(c, QUESTION, 20, repeated=True), c, ["rel_path", "start_line", "end_line", "metadata", "none_such"])
 
 
 def _query_vector(spark, d):
@@ -273,20 +274,21 @@ def hybrid_search(spark, d):
 
 def hybrid_aux_demote(spark, d):
     c = chunks(spark, d)
-    hits = search.rrf([search.bm25(c, QUESTION, 40)])
-    named = search.hydrate(hits, c, ["rel_path"]).withColumn("rel_path", F.when(F.crc32("rel_path") % 3 == 0, F.concat(F.col("rel_path"), F.lit("/OWNERS"))).otherwise(F.col("rel_path")))
+    hits = search.rrf([search.bm25(c, QUESTION, 40, repeated=True)])
+    some = F.substring(F.md5("rel_path"), 1, 1).isin(*"01234")  # a third counts as auxiliary
+    named = search.hydrate(hits, c, ["rel_path"]).withColumn("rel_path", F.when(some, F.concat(F.col("rel_path"), F.lit("/OWNERS"))).otherwise(F.col("rel_path")))
     return search.demote_auxiliary(named, 20, [F.desc("rrf_score"), F.col("id")]).select("id", "rank")
 
 
 def symbol_enclosing(spark, d):
-    hits = chunks(spark, d).where("end_line is not null")
-    s = files(spark, d).select("rel_path", F.lit("whole").alias("name"), F.lit("file").alias("kind"), F.lit(1).alias("start_line"), F.size(code.split_lines(F.col("content"))).alias("end_line"))
+    hits = chunks(spark, d, "id", "rel_path", "start_line", "end_line").where("end_line is not null")
+    s = files(spark, d).select("rel_path", F.lit("whole").alias("name"), F.lit("file").alias("kind"), F.lit(1).alias("start_line"), F.size(code.split_lines(F.col("content"))).alias("end_line")).distinct()
     halves = s.unionByName(s.select("rel_path", F.lit("half").alias("name"), F.lit("part").alias("kind"), F.lit(1).alias("start_line"), F.ceil(F.col("end_line") / 2).cast("int").alias("end_line")))
     return search.enclosing_symbols(hits, halves).select("id", "symbol")
 
 
 def file_symbols(spark, d):
-    return symbols.symbols(files(spark, d))
+    return symbols.symbols(files(spark, d)).distinct()
 
 
 def stale_results(spark, d):
@@ -294,7 +296,7 @@ def stale_results(spark, d):
 
 
 def nearest_ancestor(spark, d):
-    return search.nearest_ancestor(files(spark, d).select(F.col("abs_path").alias("path")).distinct(), table(spark, d, "codebases"))
+    return search.nearest_ancestor(files(spark, d, "abs_path").withColumnRenamed("abs_path", "path"), table(spark, d, "codebases"))
 
 
 def latest_state(spark, d):
@@ -312,13 +314,14 @@ def status_lines(spark, d):
 def _chunked(mode):
     def run(spark, d):
         c = chunking.build_chunks(files(spark, d), F.col("root"), 1500, 200, mode)
-        return c.select("id", "rel_path", "start_line", "end_line", F.length("content").alias("n_chars"))
+        return c.select("id", "rel_path", "start_line", "end_line", F.length("content").alias("n_chars")).distinct()
 
     return run
 
 
 def payload_resplit(spark, d):
-    return chunking.build_chunks(files(spark, d), F.col("root"), 40_000, 200, "text").groupBy("rel_path").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.octet_length("content")).alias("largest"))
+    c = chunking.build_chunks(files(spark, d), F.col("root"), 40_000, 200, "text").select("rel_path", "id", F.octet_length("content").alias("n")).distinct()
+    return c.groupBy("rel_path").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("n").alias("largest"))
 
 
 def _events(spark, d):
@@ -432,5 +435,16 @@ from c left join s on s.rel_path = c.rel_path where c.end_line is not null""",
     "notifications": f"with {_EVENTS} select event_id, case when type = 'operation_failed' then 'error' else 'info' end as level, case type when 'operation_started' then 'started on ' when 'step_updated' then 'next step on ' when 'operation_completed' then 'completed on ' else 'failed on ' end || path as message from e where type <> 'progress_updated'",
     "event_windows": f"with {_EVENTS} select cast(epoch(date_trunc('hour', ts)) as bigint) as window_start, type, count(*) as n from e group by 1, 2",
 }
+_KIND = " ".join(
+    f"when list_contains(w, '{w}')" + {"module": " or starts_with(node, 'mod_')", "variable": " or list_contains(w, 'lexical') or list_contains(w, 'binding') or node in ('pair', 'attribute')"}.get(w, "") + f" then '{w}'" for w in code.KIND_WORDS
+)
+_PLAIN = "node"
+for _s in code.KIND_SUFFIXES:
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_s}$', '')"
+_NODES = ", ".join(f"('{n}')" for n in NODES)
+SQL["symbol_kinds"] = f"select node, case {_KIND} else coalesce(nullif(trim(replace({_PLAIN}, '_', ' ')), ''), 'definition') end as kind from (select node, regexp_split_to_array(node, '[_-]') as w from (values {_NODES}) t(node))"
+SQL["hybrid_aux_demote"] = f"""with {_C}, {_bm25_sql("c", "b")}, h as (select id, round(1.0::double / (60 + rank), 9) as s from (select id, row_number() over (order by score desc, id) as rank from b) where rank <= 40),
+a as (select h.id, s, substr(md5(c.rel_path), 1, 1) in ('0', '1', '2', '3', '4') or lower(regexp_extract(c.rel_path, '[^/]*$')) in ({_AUX}) as aux from h join c on c.id = h.id)
+select id, row_number() over (order by aux, s desc, id) as rank from a order by rank limit 20"""
 _LATEST_RUN = "select root, run_id, status from (select *, row_number() over (partition by root order by started_at desc, run_id desc) as r from (select distinct root, run_id, status, started_at from sync_runs)) where r = 1"
 SQL["latest_run"] = _LATEST_RUN

@@ -43,6 +43,43 @@ def test_filters_that_are_none(text):
         clauses(text)
 
 
+def test_filters_reach_the_scan(spark):
+    import __spark_entry__ as entry
+
+    plans = {n: entry.queries()[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for n in ("filter_prefix", "filter_in", "filter_numeric", "filter_and", "chunk_counts")}
+    assert "StringStartsWith(rel_path,core/)" in plans["filter_prefix"] and "In(ext, [py,ts])" in plans["filter_in"]
+    assert "GreaterThanOrEqual(start_line,40)" in plans["filter_numeric"] and "StringStartsWith(rel_path,lib/)" in plans["filter_and"]
+    assert all("content" not in p for p in plans.values())
+
+
+def test_index_and_texts_give_the_same_scores(spark, tmp_path):
+    s = ChunkStore(spark, f"file://{tmp_path}/store")
+    s.create("c", 2)
+    rows_in = spark.createDataFrame([(f"i{k}", t, f"d{k % 2}/f.py", 1, 2, "py", "{}", [1.0, float(k)]) for k, t in enumerate(["lazy token", "token token handler", "", "other words here", "handler lazy lazy"])], SCHEMA + ", embedding array<float>")
+    s.upsert("c", rows_in)
+    words = search.query_terms("lazy token handler")
+    about = lambda: s.read("c").select("id", "n_terms", "rel_path")
+    score = lambda df: {r.id: r.score for r in df.collect()}
+    assert score(search.bm25_indexed(s.postings("c", words), about(), "lazy token handler")) == score(search.bm25(s.read("c"), "lazy token handler"))
+    s.delete("c", 'id in ["i0"]')  # its postings find no chunk
+    for k in range(3):
+        s.upsert("c", rows_in.where(f"id = 'i{k + 1}'"))
+    assert score(search.bm25_indexed(s.postings("c", words), about(), "lazy token handler")) == score(search.bm25(s.read("c"), "lazy token handler"))
+    assert set(score(search.bm25_indexed(s.postings("c", words), about(), "lazy token handler", 5, F.col("rel_path").startswith("d0/")))) == {"i4"}
+    with pytest.raises(Exception, match="dimensions"):
+        s.upsert("c", rows_in.withColumn("embedding", F.array(F.lit(1.0))))
+
+
+def test_rerank_failures_and_queries(spark, chunks):
+    hits = chunks.select("id", "content", "rel_path", F.ascii("id").cast("double").alias("rrf_score"))
+    order = lambda df: [r.id for r in df.orderBy("rank").collect()]
+    assert order(search.rerank(hits, lambda q, t: F.length(t), "q")) == ["a", "c", "b", "d"]
+    with pytest.warns(UserWarning, match="scorer failed"):
+        assert order(search.rerank(hits, lambda q, t: F.raise_error(F.lit("down")), "q")) == ["d", "c", "b", "a"]
+    assert "rerank_score" not in search.rerank(hits.limit(1), lambda q, t: F.length(t), "q").columns
+    assert [search.rerank_query(*x) for x in ((" p ", "s", "d"), (None, "s", "d"), ("", " ", "d"), ())] == ["p", "s", "d", ""]
+
+
 def test_deleting_needs_a_filter():
     with pytest.raises(FilterError):
         compile_filter("", deleting=True)
