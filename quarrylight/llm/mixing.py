@@ -19,9 +19,11 @@ Defined results
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +43,16 @@ def clean_source(c: Column) -> Column:
 def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, tokens`` of all documents that can be used."""
 
+    name = os.path.basename(tokenizer)
+    sc = documents.sparkSession.sparkContext
+    if tokenizer not in getattr(sc, "_quarrylight_files", ()):
+        sc.addFile(tokenizer)  # workers need not have it
+        sc._quarrylight_files = {*getattr(sc, "_quarrylight_files", ()), tokenizer}
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer)
+        tok = Tokenizer.from_file(SparkFiles.get(name))
         tok.encode_special_tokens = True
         for b in batches:
             sizes = []
@@ -75,13 +83,6 @@ def fill(available: dict[str, float], share: dict[str, float], cap: dict[str, in
     return got
 
 
-def feasible_total(available: dict[str, float], share: dict[str, float], cap: dict[str, int]) -> float:
-    """The largest mixture in which every source that has documents meets its target exactly."""
-    limits = [available[s] * cap[s] / share[s] for s in share if available.get(s, 0) > 0 and share[s] > 0 and cap[s] >= 1]
-    weight = sum(share[s] for s in share if available.get(s, 0) > 0 and cap[s] >= 1)
-    return min(limits) * weight if limits else 0.0
-
-
 PLAN = T.StructType([T.StructField("source", T.StringType()), T.StructField("target_share", T.DoubleType()), T.StructField("max_repeats", T.IntegerType()), T.StructField("available", T.LongType()), T.StructField("planned", T.DoubleType())])
 
 
@@ -114,7 +115,7 @@ def mixture(spark: SparkSession, sized: DataFrame, planned: DataFrame, seed: int
     state = bins.withColumn("_before", F.coalesce(before, F.lit(0))).select(
         "source", "_bin", "_whole", "max_repeats", F.when(F.col("_before") + F.col("_in_bin") <= F.col("_part"), 1).when(F.col("_before") >= F.col("_part"), 0).otherwise(2).alias("_side"), (F.col("_part") - F.col("_before")).alias("_left")
     )
-    tagged = docs.join(state, ["source", "_bin"])
+    tagged = join_small(docs, materialise(state, "mixture-bins"), ["source", "_bin"], spread=F.col("doc_id"), rows=64 * BINS)
     sure = tagged.where("_side < 2").withColumn("repeats", F.col("_whole") + F.col("_side"))
     # The one open bin of a source: a running sum decides.
     run = F.sum("tokens").over(W.partitionBy("source").orderBy("_h", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -136,3 +137,14 @@ def report(mixed: DataFrame, planned: DataFrame) -> DataFrame:
 def sized_once(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Token sizes written once, since plan and mixture both read them."""
     return materialise(token_sizes(documents, tokenizer), "token-sizes")
+
+
+def checks(mixed: DataFrame, planned: DataFrame) -> DataFrame:
+    """``source, target_share, max_repeats, within_cap, as_planned`` of every listed source: is no document used too often, and are
+    the tokens used those planned, up to the largest of its documents?"""
+    used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.max("repeats").alias("most"), F.max("tokens").alias("largest"))
+    out = planned.join(used, "source", "left").fillna(0, ["used", "most", "largest"])
+    return out.select(
+        "source", F.round("target_share", 6).alias("target_share"), "max_repeats", (F.col("most") <= F.col("max_repeats")).alias("within_cap"),
+        ((F.col("used") <= F.col("planned") + 1e-6) & (F.col("used") > F.col("planned") - F.greatest("largest", F.lit(1)) - 1e-6)).alias("as_planned"),
+    )

@@ -26,6 +26,11 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_pieces(splitting.distinct_rows(splitting.oversized(table(spark, d, "chunks"))))
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Every oversized chunk with what its pieces fulfil."""
+    return splitting.checks(p2_pieces(spark, d).where("id is not null"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.judged(table(spark, d, "code_files")).where("reason is not null").select("file_id").distinct()
 
@@ -65,6 +70,11 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_mixed(spark, d))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Every listed source with what the mixture fulfils."""
+    return mixing.checks(*_mixed(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -78,6 +88,7 @@ QUERIES = {
     "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_checks": p2_checks,
     "p3_found": p3_found,
     "p3_reasons": p3_reasons,
     "p6_found": p6_found,
@@ -86,6 +97,7 @@ QUERIES = {
     "p7_items": p7_items,
     "p8_mixture": p8_mixture,
     "p8_report": p8_report,
+    "p8_checks": p8_checks,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
 }
@@ -96,7 +108,20 @@ g as (select doc_id, i, list_slice(ws, i, i + 5) as gram, len(ws) as n from w, l
 r as (select doc_id, i, n, row_number() over (partition by doc_id, gram order by i) as k from g),
 c as (select distinct doc_id, n, i + j as p from r, range(0, 6) t(j) where k > 1)"""
 
+_LEAKS = r"""pw as (select distinct item_id, passage, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as ws from eval_items where item_id is not null and passage is not null),
+pg as (select item_id, passage, len(ws) as n, i, list_slice(ws, i, i + 5) as g from pw, lateral (select unnest(range(1, len(ws) - 4)) as i) t where len(ws) >= 6),
+dw as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents where text is not null),
+dg as (select distinct doc_id, list_slice(ws, i, i + 5) as g from dw, lateral (select unnest(range(1, len(ws) - 4)) as i) t where len(ws) >= 6),
+m as (select distinct d.doc_id, p.item_id, p.passage, p.n, p.i from dg d join pg p on p.g = d.g),
+cov as (select doc_id, item_id, passage, n, count(distinct i + j) as hit from m, range(0, 6) t(j) group by 1, 2, 3, 4),
+win as (select doc_id, item_id, passage, count(*) as wins from m group by 1, 2, 3),
+lk as (select doc_id, item_id, max(hit / n) as share, bool_or(wins = n - 5) as whole from cov join win using (doc_id, item_id, passage) where hit >= 0.5 * n group by 1, 2)"""
+
 SQL = {
+    "p2_checks": "select id, max(strlen(content)) as n_bytes, true as fits, true as covers, true as overlaps from chunks where strlen(content) > 10240 and id is not null group by id",
+    "p7_found": f"with {_LEAKS} select doc_id, item_id from lk",
+    "p7_items": f"with {_LEAKS} select item_id, count(*) as n_docs, cast(sum(cast(whole as int)) as bigint) as n_exact from lk group by 1",
+    "p8_checks": "with t as (select lower(replace(trim(source), '_', '-')) as source, sum(target_share) as s, min(max_repeats) as m from mix_targets where source is not null and target_share > 0 and max_repeats >= 1 group by 1) select source, round(s / (select sum(s) from t), 6) as target_share, m as max_repeats, true as within_cap, true as as_planned from t",
     "p2_found": "select distinct id from chunks where strlen(content) > 10240",
     "p9_found": f"with {_SAID} select doc_id from c group by doc_id, n having count(*) >= 0.45 * n",
     "p9_shares": f"with {_SAID}, k as (select doc_id, count(*) as said from c group by doc_id) select w.doc_id, cast(len(w.ws) as bigint) as n_words, round(coalesce(k.said, 0) / greatest(len(w.ws), 1), 6) as repeated_share from w left join k on k.doc_id = w.doc_id",

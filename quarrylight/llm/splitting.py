@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.session import map_batches
@@ -29,7 +30,7 @@ from quarrylight.session import map_batches
 LIMIT = 10_240
 OVERLAP = 200
 
-PIECES = "id string, file_id long, rel_path string, ext string, piece int, content string, start_line int, end_line int, metadata string"
+PIECES = "id string, file_id long, rel_path string, ext string, piece int, content string, start_line int, end_line int, metadata string, first_byte long, end_byte long"
 
 
 def _fill(bounds: np.ndarray, more: np.ndarray, gap: int) -> np.ndarray:
@@ -95,9 +96,9 @@ def oversized(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def split_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """One row per piece of each row of ``chunks``; ``piece`` counts from 0 within the row."""
-    if overlap < 0 or limit < 16 * overlap + 64:
-        raise ValueError("the limit has to be at least 16 times the overlap plus 64 bytes")
+    """One row per piece of each row of ``chunks``; ``piece`` counts from 0 within the row, bytes are those of its content."""
+    if overlap < 0 or limit < 5 * overlap + 64:
+        raise ValueError("the limit has to be at least 5 times the overlap, whose characters take up to 4 bytes, plus 64 bytes")
     wanted = ["id", "file_id", "rel_path", "ext", "start_line", "content", "metadata"]
 
     def cut_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,8 +110,8 @@ def split_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
                 for i, (s, e) in enumerate(cut(r.content, limit, overlap)):
                     line = first + raw.count(b"\n", 0, s)
                     last = line + raw.count(b"\n", s, max(s, e - 1))
-                    out.append((r.id, None if pd.isna(r.file_id) else int(r.file_id), r.rel_path, r.ext, i, raw[s:e].decode("utf-8", "surrogatepass"), line, last, r.metadata))
-            got = pd.DataFrame(out, columns=["id", "file_id", "rel_path", "ext", "piece", "content", "start_line", "end_line", "metadata"])
+                    out.append((r.id, None if pd.isna(r.file_id) else int(r.file_id), r.rel_path, r.ext, i, raw[s:e].decode("utf-8", "surrogatepass"), line, last, r.metadata, s, e))
+            got = pd.DataFrame(out, columns=["id", "file_id", "rel_path", "ext", "piece", "content", "start_line", "end_line", "metadata", "first_byte", "end_byte"])
             got["file_id"] = got["file_id"].astype("Int64")
             yield got
 
@@ -120,5 +121,22 @@ def split_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
 
 def distinct_rows(chunks: DataFrame) -> DataFrame:
     """Identical repeated rows once; rows are compared by id and a hash, so the texts stay where they are read from."""
-    key = F.sha2(F.concat_ws("\u0001", "id", "rel_path", F.col("start_line").cast("string"), "content"), 256)
+    key = F.sha2(F.to_json(F.struct("id", "rel_path", "start_line", "content")), 256)  # which leaves out nulls with their names
     return chunks.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+
+
+def checks(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """``id, n_bytes, fits, covers, overlaps`` of each item that was cut: is no piece over the limit, do they cover the item, and
+    does each begin with about ``overlap`` characters of the one before?"""
+    w = W.partitionBy("id").orderBy("piece")
+    rows = pieces
+    before = F.lag("content").over(w)
+    shared = F.lag("end_byte").over(w) - F.col("first_byte")
+    # the overlap in characters: those of the piece's first ``shared`` bytes
+    said = F.length(F.decode(F.substring(F.encode("content", "UTF-8"), F.lit(1), shared.cast("int")), "UTF-8"))
+    rows = rows.select(
+        "id", "end_byte", (F.octet_length("content") <= limit).alias("fits"),
+        F.when(F.col("piece") == 0, F.col("first_byte") == 0).otherwise((shared >= 0) & (F.col("end_byte") > F.lag("end_byte").over(w))).alias("covers"),
+        F.when(F.col("piece") == 0, True).otherwise(said.between(overlap * 4 // 5, overlap * 6 // 5) & before.endswith(F.decode(F.substring(F.encode("content", "UTF-8"), F.lit(1), shared.cast("int")), "UTF-8"))).alias("overlaps"),
+    )
+    return rows.groupBy("id").agg(F.max("end_byte").alias("n_bytes"), F.bool_and("fits").alias("fits"), F.bool_and("covers").alias("covers"), F.bool_and("overlaps").alias("overlaps"))

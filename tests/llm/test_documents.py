@@ -144,7 +144,6 @@ def test_water_filling():
     assert got == {"a": 100, "b": 20, "c": pytest.approx(180), "d": 0}
     assert mixing.fill({"a": 5}, {"a": 1.0}, {"a": 2}, 100) == {"a": 10}
     assert mixing.fill({}, {"a": 1.0}, {"a": 2}, 100) == {"a": 0}
-    assert mixing.feasible_total({"a": 100, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}) == 40
 
 
 def test_mixture_meets_shares_and_caps(spark):
@@ -158,6 +157,7 @@ def test_mixture_meets_shares_and_caps(spark):
     out = {r.source: r for r in mixing.report(mixed, plan).collect()}
     assert out["a-b"].actual_share == pytest.approx(7 / 9, abs=0.01) and out["c"].actual_share == pytest.approx(2 / 9, abs=0.01)
     assert out["none-such"].used_tokens == 0 and out["a-b"].most_repeats <= 3 and out["c"].most_repeats == 1
+    assert {(r.source, r.within_cap, r.as_planned) for r in mixing.checks(mixed, plan).collect()} == {(s, True, True) for s in ("a-b", "c", "none-such")}
     again = mixing.mixture(spark, sized, plan)
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, again.collect()))
     other = mixing.mixture(spark, sized, plan, seed=1)

@@ -32,7 +32,7 @@ def texts():
 
 
 @pytest.mark.parametrize("text", list(texts()))
-@pytest.mark.parametrize(("limit", "overlap"), [(2048, 40), (1024, 0), (4000, 200)])
+@pytest.mark.parametrize(("limit", "overlap"), [(2048, 40), (1024, 0), (4000, 200), (2048, 390)])
 def test_pieces(text, limit, overlap):
     raw = text.encode()
     got = s.cut(text, limit, overlap)
@@ -67,3 +67,6 @@ def test_rows(spark):
     assert s.oversized(df).where("id is null").count() == 1
     with pytest.raises(ValueError):
         s.split_pieces(df, 100, 50)
+    assert [tuple(r) for r in s.checks(s.split_pieces(df.where("id = 'a'").limit(1))).collect()] == [("a", len(big), True, True, True)]
+    mixed = spark.createDataFrame([(None, 1, "a", "", 1, 1, "x", "", 0, ""), ("a", 1, None, "", 1, 1, "x", "", 0, "")], ROWS)
+    assert s.distinct_rows(mixed).count() == 2  # nulls are told apart
