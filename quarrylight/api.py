@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.config import Settings
 from quarrylight.functions.code import query_terms, result_text, status_line, terms
+from quarrylight.functions.languages import read_as
 from quarrylight.operators import manifest, search, symbols
 from quarrylight.operators.chunking import OVERLAP, SIZE, build_chunks
 from quarrylight.operators.filters import compile_filter, search_filter
@@ -151,7 +152,8 @@ class Engine:
         try:
             there = listing(self.spark, root, patterns)
             old = self._load("manifest", root, MANIFEST)
-            opened = read_listed(manifest.needs_hash(there, old, ["rel_path"])).persist()
+            opened = read_listed(manifest.needs_hash(there, old, ["rel_path"]))
+            opened = opened.withColumn("ext", read_as(F.col("ext"), F.col("content"))).persist()
             held.append(opened)
             carried = there.join(old.where("hash is not null"), "rel_path").where((there["size"] == old["size"]) & (there["mtime_ns"] == old["mtime_ns"]))
             now = carried.select("rel_path", "hash", "chunk_count", there["size"], there["mtime_ns"]).unionByName(opened.select("rel_path", "hash", F.lit(0).alias("chunk_count"), "size", "mtime_ns")).persist()

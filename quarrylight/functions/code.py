@@ -60,12 +60,6 @@ def effective_ext(path: Column) -> Column:
     )
 
 
-def shebang_language(content: Column) -> Column:
-    """Interpreter named in the first line, without version; empty if there is none."""
-    first = F.regexp_extract(content, r"^#![ \t]*(?:\S*/)?(?:env[ \t]+(?:-\S+[ \t]+)*)?([A-Za-z]+)", 1)
-    return F.when(first.isin("sh", "bash", "zsh", "dash", "ksh"), "shell").when(first == "node", "javascript").when(first.startswith("python"), "python").otherwise(first)
-
-
 def split_lines(content: Column) -> Column:
     """Lines with their line ends; a final line end gives an empty last line."""
     return F.split(content, r"(?<=\n)", -1)

@@ -75,10 +75,26 @@ def text_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[Chu
 
 _NOISE = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`")
 _HASH_NOISE = re.compile(r"#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'[^'\n]*'")
-BRACED = {"go", "c", "h", "cs", "cpp", "cc", "hpp", "css", "java", "rs", "js", "jsx", "mjs", "ts", "tsx", "php", "scala", "kt", "swift"}
+BRACED = {"go", "c", "h", "cs", "cpp", "cc", "cxx", "hpp", "hx", "css", "java", "rs", "js", "jsx", "mjs", "ts", "tsx", "php", "scala", "sbt", "kt", "kts", "swift", "ino"}
+_HCL = {"hcl", "tf", "tfvars", "tofu"}
 _DECLARES = re.compile(
     r"^(?:export\s+)?(?:default\s+)?(?:pub(?:\([^)]*\))?\s+)?(?:public|private|protected|static|final|abstract|async|unsafe|extern|inline|declare|const(?=\s+fn)|func|function|fn|type|class|interface|struct|enum|trait|impl|mod|namespace|var|let|const|def|record|union|typedef|module|macro_rules!|[A-Za-z_][\w\s*&<>:,\[\]]*\()"
 )
+# Where the parts of a text begin, for languages whose parts begin at the margin: ``(declaration, any part)``.
+_MARGIN = {
+    "rb": (re.compile(r"(?:class|module|def)\b"), re.compile(r"(?!end\b)\S")),
+    "lua": (re.compile(r"(?:local\s+)?function\b"), re.compile(r"(?!end\b|\}|\))\S")),
+    "ml": (re.compile(r"(?:let|and|type|module|val|external|exception|class)\b"), re.compile(r"(?!\||\}|\]|end\b|in\b|;;)\S")),
+    "toml": (re.compile(r"\[{1,2}[^\[\],]+\]{1,2}\s*(?:#.*)?$"),) * 2,
+    "yaml": (re.compile(r"(?:[\w\"'./-][^#\n]*:(?:\s|$)|- )"), re.compile(r"\S")),
+    "sh": (re.compile(r"(?:function\s+[\w:-]+|[\w:-]+\s*\(\))"), re.compile(r"(?!\}|fi\b|done\b|esac\b|then\b|else\b|elif\b|do\b|\))\S")),
+    "dockerfile": (re.compile(r"(?i)FROM\b"), re.compile(r"[A-Za-z]")),
+    "mk": (re.compile(r"[^\s#=:]+[^=:\n]*:(?!=)"), re.compile(r"\S")),
+}
+_MARGIN |= {"luau": _MARGIN["lua"], "mli": _MARGIN["ml"], "yml": _MARGIN["yaml"], "bash": _MARGIN["sh"]}
+_TAG = re.compile(r"<!--[\s\S]*?(?:-->|\Z)|<!\[CDATA\[[\s\S]*?(?:\]\]>|\Z)|<(script|style)\b[^>]*>[\s\S]*?</\1\s*>|<([/!?]?)([\w:.-]+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.I)
+_ALONE = frozenset("area base br col embed hr img input link meta source track wbr".split())
+MARKUP = {"html", "htm", "xml", "svg", "xsd", "xslt", "xsl", "rng", "svelte", "astro"}
 _REMARK = re.compile(r"^\s*(?://|/\*|\*|#(?!\[|include|define|if|endif)|--|@|#\[|$)")
 
 
@@ -100,12 +116,18 @@ def unit_starts(text: str, ext: str) -> list[tuple[int, bool]] | None:
             first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))]) - 1
             out.append((first, isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)))
         return out
-    if ext not in BRACED:
+    if ext in _MARGIN:
+        return _margin_starts(text, *_MARGIN[ext])
+    if ext in MARKUP:
+        return _element_starts(text)
+    if ext == "json":
+        return _pair_starts(text)
+    if ext not in BRACED and ext not in _HCL:
         return None
-    plain, depth, out, fresh = _blank(text, _NOISE), 0, [], True
+    plain, depth, out, fresh = _blank(text, _HASH_NOISE if ext in _HCL else _NOISE), 0, [], True
     for i, (line, raw) in enumerate(zip(plain.split("\n"), text.split("\n"), strict=True)):
         if depth == 0 and line.strip() and line[0] not in " \t})]":
-            out.append((i, bool(_DECLARES.match(line))))
+            out.append((i, ext in _HCL or bool(_DECLARES.match(line))))
         elif depth == 0 and fresh and raw.strip() and _REMARK.match(raw):
             out.append((i, False))
         depth += sum(map(line.count, "({[")) - sum(map(line.count, ")}]"))
@@ -115,11 +137,62 @@ def unit_starts(text: str, ext: str) -> list[tuple[int, bool]] | None:
     return out if depth == 0 else None
 
 
+def _margin_starts(text: str, declares: re.Pattern, part: re.Pattern) -> list[tuple[int, bool]]:
+    """Parts that begin at the margin; what is indented, closes one or goes on after a backslash belongs to the one before."""
+    out, goes_on = [], False
+    for i, line in enumerate(text.split("\n")):
+        if not goes_on and part.match(line):
+            out.append((i, bool(declares.match(line))))
+        goes_on = line.rstrip("\r").endswith("\\")
+    return out if not out or out[0][0] == 0 else [(0, False), *out]
+
+
+def _element_starts(text: str) -> list[tuple[int, bool]] | None:
+    """Elements of markup: those at the top, or where that is one for all, those right within it. None if they do not nest."""
+    depth, found, open_ = 0, {0: [], 1: []}, []
+    for m in _TAG.finditer(text):
+        kind, name = m[2], (m[3] or m[1] or "").lower()
+        if depth < 2 and not kind == "/" and (m[1] or m[3]) and kind not in ("!", "?"):
+            found[depth].append(m.start())
+        if not m[3] or kind in ("!", "?") or name in _ALONE or (m[4] or "").rstrip().endswith("/"):
+            continue
+        if kind == "/":
+            if not open_ or open_.pop() != name:
+                return None
+            depth -= 1
+        else:
+            open_.append(name)
+            depth += 1
+    if depth:
+        return None
+    at = found[1] if len(found[0]) == 1 and found[1] else found[0]
+    return [(k, True) for k in sorted({text.count("\n", 0, x) for x in at})]
+
+
+def _pair_starts(text: str) -> list[tuple[int, bool]] | None:
+    """Lines on which the members of the outermost object or array of JSON begin."""
+    plain, depth, out, fresh = re.sub(r'"(?:\\.|[^"\\\n])*"', lambda m: "s" * len(m[0]), text), 0, [], False
+    for i, line in enumerate(plain.split("\n")):
+        if depth == 1 and fresh and line.strip() and line.strip()[0] not in "]},":
+            out.append((i, True))
+        for c in line:
+            if c in "[{":
+                depth += 1
+                fresh = depth == 1 or fresh
+            elif c in "]}":
+                depth -= 1
+            elif depth == 1 and c == ",":
+                fresh = True
+            elif depth == 1 and not c.isspace():
+                fresh = False
+    return out if depth == 0 else None
+
+
 def code_chunks(text: str, ext: str, size: int = SIZE, overlap: int = OVERLAP) -> list[Chunk]:
     """Chunks of whole declarations; a file that fits is one chunk, what is too large for one goes to ``text_chunks``."""
     size, overlap = limits(size, overlap)
     ext = ext.lstrip(".").lower()
-    if ext not in BRACED and ext != "py":
+    if ext != "py" and ext != "json" and not any(ext in known for known in (BRACED, _HCL, _MARGIN, MARKUP)):
         return text_chunks(text, size, overlap)
     if not text:
         return []

@@ -82,6 +82,8 @@ def symbols_of(text: str, ext: str) -> list[Symbol]:
             for m in pattern.finditer(plain):
                 a = m.start(1)
                 out.append((m[1], kind, plain.count("\n", 0, a) + 1, plain.count("\n", 0, _end(plain, a)) + 1))
+    if ext == "go":
+        out = merge_symbols(out, grouped(text))
     seen: set[tuple[str, int]] = set()
     merged = []
     for s in sorted(out, key=lambda s: (s[2], s[3], s[0])):  # the first of one name and line stays
@@ -91,6 +93,35 @@ def symbols_of(text: str, ext: str) -> list[Symbol]:
     return merged
 
 
+_GROUP = re.compile(r"^(type|var|const)\s*\(", re.M)
+_MEMBER = re.compile(r"^[ \t]+([A-Za-z_]\w*)(?=[ \t,=]|$)", re.M)
+
+
+def grouped(text: str) -> list[Symbol]:
+    """Members of the grouped declarations of Go, ``type ( ... )`` and the like, which patterns by line do not see."""
+    plain, out = _blank(text, _NOISE), []
+    for g in _GROUP.finditer(plain):
+        depth, at = 1, g.end()
+        end = at
+        for end in range(at, len(plain)):
+            depth += (plain[end] in "({[") - (plain[end] in ")}]")
+            if not depth:
+                break
+        inner, level = plain[at:end], 0
+        for k, line in enumerate(inner.split("\n")):
+            if level == 0 and (m := _MEMBER.match(line)):
+                first = plain.count("\n", 0, at) + k + 1
+                offset = at + len("\n".join(inner.split("\n")[:k])) + (1 if k else 0)
+                out.append((m[1], "type" if g[1] == "type" else "variable", first, plain.count("\n", 0, _end(plain, offset)) + 1))
+            level += sum(map(line.count, "({[")) - sum(map(line.count, ")}]"))
+    return out
+
+
+def merge_symbols(first: list[Symbol], more: list[Symbol]) -> list[Symbol]:
+    """``first`` and those of ``more`` that overlap none of the same name and kind; blank names are dropped."""
+    return first + [s for s in more if s[0].strip() and not any(s[:2] == t[:2] and s[2] <= t[3] and t[2] <= s[3] for t in first)]
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """``rel_path, name, kind, start_line, end_line`` of ``rel_path, ext, content`` files."""
 
@@ -103,10 +134,3 @@ def symbols(files: DataFrame) -> DataFrame:
 
     rows = files.where("content <> '' and rel_path is not null").select("rel_path", "ext", "content")
     return map_batches(rows, run, "rel_path string, name string, kind string, start_line int, end_line int")
-
-
-def merge_symbols(first: DataFrame, more: DataFrame) -> DataFrame:
-    """``first`` and those of ``more`` that overlap none of the same name and kind."""
-    a, b = more.alias("a"), first.alias("b")
-    same = (a["rel_path"] == b["rel_path"]) & (a["name"] == b["name"]) & (a["kind"] == b["kind"]) & (a["start_line"] <= b["end_line"]) & (b["start_line"] <= a["end_line"])
-    return first.unionByName(more.alias("a").join(first.alias("b"), same, "left_anti"))

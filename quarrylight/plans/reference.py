@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrylight.functions import code
+from quarrylight.functions import code, languages
 from quarrylight.operators import chunking, manifest, search, symbols
 from quarrylight.operators.filters import compile_filter
 from quarrylight.operators.snapshot_diff import clean_path, successful_runs
@@ -107,6 +107,18 @@ def language_files(spark, d):
     return join_small(f, table(spark, d, "languages"), ["ext"], "left", spread=F.col("file_id")).groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def registry_languages(spark, d):
+    """Files by language of the registry, by extension or else by what their content names."""
+    f = files(spark, d).select("file_id", languages.language(F.col("ext"), F.col("content")).alias("language")).distinct()
+    return f.groupBy("language").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def content_language(spark, d):
+    """Files by the language their contents name, whatever their extension."""
+    f = files(spark, d).select("file_id", languages.by_content(F.col("content")).alias("language")).distinct()
+    return f.groupBy("language").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def line_split(spark, d):
     lines = files(spark, d).where("content <> ''").select("file_id", code.split_lines(F.col("content")).alias("l"))
     return lines.select("file_id", F.size("l").cast("long").alias("n_lines"), F.array_max(F.transform("l", lambda x: F.length(x))).alias("longest")).distinct()
@@ -356,7 +368,7 @@ FILTERS = {
 QUERIES = {
     f.__name__: f
     for f in (
-        entity_project, payload_bytes, aux_flag, effective_ext, collections, symbol_kinds, language_files, line_split, fixed_window_chunks, manifest_diff, manifest_diff_by_hash,
+        entity_project, payload_bytes, aux_flag, effective_ext, collections, symbol_kinds, language_files, registry_languages, content_language, line_split, fixed_window_chunks, manifest_diff, manifest_diff_by_hash,
         change_counts, files_to_process, removed_chunks, progress_manifest, new_total, needs_hash, chunk_counts, file_chunk_ids, completed_files, stale_ids, chunk_count_update, hydrate,
         dense_topk, dense_filtered, bm25_topk, bm25_all, rrf_fuse, hybrid_search, hybrid_aux_demote, symbol_enclosing, file_symbols, stale_results, nearest_ancestor, latest_state, latest_run,
         status_lines, payload_resplit, event_lifecycle, progress_throttle, notifications, event_windows, manifest_diff_history, manifest_diff_by_hash_history, change_counts_history,
@@ -435,6 +447,40 @@ from c left join s on s.rel_path = c.rel_path where c.end_line is not null""",
     "notifications": f"with {_EVENTS} select event_id, case when type = 'operation_failed' then 'error' else 'info' end as level, case type when 'operation_started' then 'started on ' when 'step_updated' then 'next step on ' when 'operation_completed' then 'completed on ' else 'failed on ' end || path as message from e where type <> 'progress_updated'",
     "event_windows": f"with {_EVENTS} select cast(epoch(date_trunc('hour', ts)) as bigint) as window_start, type, count(*) as n from e group by 1, 2",
 }
+_NAMED = " ".join(f"when '{n}' then '{x}'" for n, x in languages.BY_NAME.items())
+
+
+def _content_sql(text: str) -> str:
+    """Language that ``text`` names; the same patterns over its edges."""
+    edges = f"array_to_string(list_concat(string_split({text}, chr(10))[1:5], list_reverse(string_split({text}, chr(10)))[1:5]), chr(10))"
+    found = [*(f"regexp_extract({edges}, '{p}', 1)" for p in languages.MODELINE), f"regexp_extract({text}, '{languages.SHEBANG}', 1)"]
+    return "coalesce(" + ", ".join(f"case lower({x}) {_NAMED} end" for x in found) + ")"
+
+
+_EXTS = " ".join(f"when '{e}' then '{x}'" for e, x in languages.BY_EXT.items())
+SQL["registry_languages"] = f"with {_F}, e as (select file_id, content, coalesce(ext, case when b in ('makefile', 'gnumakefile') then '.mk' when b = 'dockerfile' then '.dockerfile' when b = '.gitattributes' then b when b = 'go.sum' then '.go.sum' when b = 'requirements.txt' then '.requirements.txt' else regexp_extract(b, '\\.[^.]*$') end) as ext from (select *, lower(regexp_extract(rel_path, '[^/]*$')) as b from f)) select coalesce(case lower(ext) {_EXTS} end, {_content_sql('content')}) as language, count(*) as n_files from e group by 1"
+SQL["content_language"] = f"with {_F} select {_content_sql('content')} as language, count(*) as n_files from f group by 1"
+SQL["text_chunker"] = """with recursive f as (select rel_path, ls, n, list_transform(ls, lambda x, k: cast(length(x) + case when k < n then 1 else 0 end as bigint)) as lens
+  from (select distinct rel_path, string_split(content, chr(10)) as ls, len(string_split(content, chr(10))) as n from code_files where rel_path is not null and regexp_matches(content, '\\S'))),
+p as (select *, list_concat([0::bigint], list_transform(range(1, n + 1), lambda k: cast(list_sum(lens[1:k]) as bigint))) as upto, list_filter(range(0, n), lambda k: lens[k + 1] > 1500) as longs from f),
+e as (
+  select rel_path, 0::bigint as i from p
+  union all
+  select rel_path, nxt from (
+    select rel_path, n, ls, case when lens[i + 1] > 1500 then i + 1 when stop >= n then null
+      when stop > i + 1 then least(stop - 1, greatest(i + 1, len(list_filter(upto, lambda x: x <= upto[stop + 1] - 200)) - 1)) else stop end as nxt
+    from (select p.*, e.i, case when upto[n + 1] - upto[i + 1] <= 1500 then n
+        else greatest(i + 1, least(coalesce(list_min(list_filter(longs, lambda x: x >= i)), n), len(list_filter(upto, lambda x: x <= upto[i + 1] + 1500)) - 1)) end as stop
+      from e join p using (rel_path)))
+  where nxt < n and not (nxt = n - 1 and ls[n] = '')),
+c as (select p.*, e.i, case when upto[n + 1] - upto[i + 1] <= 1500 then n
+    else greatest(i + 1, least(coalesce(list_min(list_filter(longs, lambda x: x >= i)), n), len(list_filter(upto, lambda x: x <= upto[i + 1] + 1500)) - 1)) end as stop from e join p using (rel_path)),
+t as (
+  select rel_path, i + 1 as s, stop as t, array_to_string(ls[i + 1:stop], chr(10)) || case when stop < n then chr(10) else '' end as text from c where lens[i + 1] <= 1500
+  union all
+  select rel_path, i + 1, i + 1, substr(ls[i + 1] || case when i + 1 < n then chr(10) else '' end, k * 1300 + 1, 1500)
+  from (select *, unnest(range(0, cast(ceil((lens[i + 1] - 1500) / 1300.0) as bigint) + 1)) as k from c where lens[i + 1] > 1500))
+select distinct 'chunk_' || substr(sha256(concat_ws(':', rel_path, s, t, text)), 1, 16) as id, rel_path, cast(s as int) as start_line, cast(t as int) as end_line, cast(length(text) as int) as n_chars from t"""
 _KIND = " ".join(
     f"when list_contains(w, '{w}')" + {"module": " or starts_with(node, 'mod_')", "variable": " or list_contains(w, 'lexical') or list_contains(w, 'binding') or node in ('pair', 'attribute')"}.get(w, "") + f" then '{w}'" for w in code.KIND_WORDS
 )

@@ -20,12 +20,26 @@ STATUS = {STARTED: "indexing", COMPLETED: "indexed", FAILED: "failed"}
 ORDER = ("ts", "event_id")
 
 
-def numbered(events: DataFrame) -> DataFrame:
-    """Events with ``operation`` and ``live``: the number of the operation they belong to, and whether it had not ended before."""
-    w = W.partitionBy("path").orderBy(*ORDER)
-    n = events.withColumn("operation", F.sum((F.col("type") == STARTED).cast("long")).over(w))
-    ended = F.coalesce(F.sum(F.col("type").isin(*ENDS).cast("long")).over(W.partitionBy("path", "operation").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return n.withColumn("live", (F.col("operation") > 0) & (ended == 0))
+def numbered(events: DataFrame, width: str = "hour") -> DataFrame:
+    """Events with ``operation`` and ``live``: the number of the operation they belong to, and whether it had not ended before.
+
+    Running counts within each ``width`` of time of a root, and from one to the next over one row each: a root with a large part of
+    all events is not one task.
+    """
+    at, started, ends = F.struct(*ORDER), F.col("type") == STARTED, F.col("type").isin(*ENDS)
+    e = events.withColumn("_b", F.date_trunc(width, F.col("ts").cast("timestamp")))
+    within = W.partitionBy("path", "_b").orderBy(*ORDER)
+    e = e.select(
+        "*", F.sum(started.cast("long")).over(within).alias("_n"), F.max(F.when(started, at)).over(within).alias("_s"),
+        F.max(F.when(ends, at)).over(within.rowsBetween(W.unboundedPreceding, -1)).alias("_e"),
+    )
+    each = events.groupBy("path", F.date_trunc(width, F.col("ts").cast("timestamp")).alias("_b")).agg(F.sum(started.cast("long")).alias("n"), F.max(F.when(started, at)).alias("s"), F.max(F.when(ends, at)).alias("e"))
+    before = W.partitionBy("path").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    each = each.select("path", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"), F.max("s").over(before).alias("_s0"), F.max("e").over(before).alias("_e0"))
+    e = e.join(each, (e["path"].eqNullSafe(each["path"])) & (e["_b"].eqNullSafe(each["_b"]))).drop(each["path"], each["_b"])
+    last_start, last_end = F.coalesce("_s", "_s0"), F.coalesce("_e", "_e0")
+    out = e.withColumn("operation", F.col("_n0") + F.col("_n")).withColumn("live", last_start.isNotNull() & (last_end.isNull() | (last_end < last_start)))
+    return out.select(*events.columns, "operation", "live")
 
 
 def final_states(events: DataFrame) -> DataFrame:
@@ -62,12 +76,17 @@ STATE = "status string, operations long, last_event long"
 def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The state machine of one root over the events of a trigger."""
     status, operations, last = state.get if state.exists else ("not_found", 0, -1)
-    rows = pd.concat(list(batches)).sort_values(list(ORDER))
-    for kind, event in zip(rows["type"], rows["event_id"], strict=True):
-        last = int(event)
+    turns, newest = [], None
+    for b in batches:  # of all events only those that turn the state are held
+        turns.append(b.loc[b["type"].isin([STARTED, *ENDS]), ["ts", "event_id", "type"]])
+        top = b.sort_values(list(ORDER)).iloc[-1] if len(b) else None
+        if top is not None and (newest is None or (top["ts"], top["event_id"]) > newest):
+            newest = (top["ts"], top["event_id"])
+    last = last if newest is None else int(newest[1])
+    for kind in pd.concat(turns).sort_values(list(ORDER))["type"] if turns else ():
         if kind == STARTED:
             status, operations = "indexing", operations + 1
-        elif kind in ENDS and status == "indexing":
+        elif status == "indexing":
             status = STATUS[kind]
     state.update((status, operations, last))
     yield pd.DataFrame({"path": [key[0]], "status": [status], "operations": [operations], "last_event": [last]})
