@@ -14,7 +14,8 @@ from quarrylight.functions import code, languages
 from quarrylight.operators import chunking, manifest, search, symbols
 from quarrylight.operators.filters import compile_filter
 from quarrylight.operators.snapshot_diff import clean_path, successful_runs
-from quarrylight.session import join_small, table
+from quarrylight.session import join_small, scratch_path, table
+from quarrylight.sources.store import ChunkStore
 from quarrylight.streaming import lifecycle
 
 QUESTION = "restore the lazy token handler"
@@ -358,6 +359,46 @@ def event_windows(spark, d):
     return lifecycle.windowed_counts(_events(spark, d)).select(F.unix_timestamp("window_start").alias("window_start"), "type", "n")
 
 
+def _stored(spark, d, keep="true"):
+    """A store with one collection ``c`` that holds the chunks ``keep`` lets in."""
+    s = ChunkStore(spark, scratch_path(spark, "store"))
+    s.create("c", 64)
+    s.upsert("c", chunks(spark, d).where(keep))
+    return s
+
+
+def store_upsert(spark, d):
+    s = _stored(spark, d, "start_line < 60")
+    s.upsert("c", chunks(spark, d).where("start_line >= 40").withColumn("content", F.lit("newer text")))
+    return s.read("c").select("id", "rel_path", F.length("content").alias("n_chars"), "n_terms")
+
+
+def store_delete_file(spark, d):
+    s = _stored(spark, d)
+    path = s.read("c").agg(F.min("rel_path")).first()[0]
+    s.delete("c", f'relativePath == "{path}"')
+    return s.read("c").select("id", "rel_path")
+
+
+def store_delete_ids(spark, d):
+    s = _stored(spark, d)
+    s.delete_ids("c", chunks(spark, d, "id", "start_line").where("start_line = 1"))
+    return s.read("c").select("id", "rel_path")
+
+
+def store_delete_filter(spark, d):
+    s = _stored(spark, d)
+    s.delete("c", 'fileExtension == "go" and startLine > 1')
+    return s.read("c").select("id", "rel_path")
+
+
+def store_replace_files(spark, d):
+    s = _stored(spark, d)
+    of = chunks(spark, d).where("ext in ('go', 'py')")
+    s.replace_files("c", of.select("rel_path"), of.where("start_line = 1"))
+    return s.read("c").select("id", "rel_path", "start_line")
+
+
 FILTERS = {
     "filter_eq": ('fileExtension == "go"', "ext = 'go'"),
     "filter_in": ('fileExtension in ["py", "ts"]', "ext in ('py', 'ts')"),
@@ -371,7 +412,7 @@ QUERIES = {
         entity_project, payload_bytes, aux_flag, effective_ext, collections, symbol_kinds, language_files, registry_languages, content_language, line_split, fixed_window_chunks, manifest_diff, manifest_diff_by_hash,
         change_counts, files_to_process, removed_chunks, progress_manifest, new_total, needs_hash, chunk_counts, file_chunk_ids, completed_files, stale_ids, chunk_count_update, hydrate,
         dense_topk, dense_filtered, bm25_topk, bm25_all, rrf_fuse, hybrid_search, hybrid_aux_demote, symbol_enclosing, file_symbols, stale_results, nearest_ancestor, latest_state, latest_run,
-        status_lines, payload_resplit, event_lifecycle, progress_throttle, notifications, event_windows, manifest_diff_history, manifest_diff_by_hash_history, change_counts_history,
+        status_lines, store_upsert, store_delete_file, store_delete_ids, store_delete_filter, store_replace_files, payload_resplit, event_lifecycle, progress_throttle, notifications, event_windows, manifest_diff_history, manifest_diff_by_hash_history, change_counts_history,
         files_to_process_history, removed_chunks_history, progress_manifest_history, new_total_history, needs_hash_history, stale_results_history,
     )
 } | {k: _filtered(v[0]) for k, v in FILTERS.items()} | {"text_chunker": _chunked("text"), "code_chunker": _chunked("ast")}
@@ -447,6 +488,12 @@ from c left join s on s.rel_path = c.rel_path where c.end_line is not null""",
     "notifications": f"with {_EVENTS} select event_id, case when type = 'operation_failed' then 'error' else 'info' end as level, case type when 'operation_started' then 'started on ' when 'step_updated' then 'next step on ' when 'operation_completed' then 'completed on ' else 'failed on ' end || path as message from e where type <> 'progress_updated'",
     "event_windows": f"with {_EVENTS} select cast(epoch(date_trunc('hour', ts)) as bigint) as window_start, type, count(*) as n from e group by 1, 2",
 }
+_TERMS = "len(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> ''))"
+SQL["store_upsert"] = f"with {_C} select id, rel_path, cast(case when start_line >= 40 then 10 else length(content) end as int) as n_chars, cast(case when start_line >= 40 then 2 else {_TERMS} end as int) as n_terms from c"
+SQL["store_delete_file"] = f"with {_C} select id, rel_path from c where rel_path <> (select min(rel_path) from c)"
+SQL["store_delete_ids"] = f"with {_C} select id, rel_path from c where start_line <> 1"
+SQL["store_delete_filter"] = f"with {_C} select id, rel_path from c where not (coalesce(ext, '') = 'go' and start_line > 1)"
+SQL["store_replace_files"] = f"with {_C}, g as (select distinct rel_path from c where ext in ('go', 'py')) select id, rel_path, start_line from c where rel_path not in (select rel_path from g) or (ext in ('go', 'py') and start_line = 1)"
 _NAMED = " ".join(f"when '{n}' then '{x}'" for n, x in languages.BY_NAME.items())
 
 
