@@ -94,6 +94,7 @@ _MARGIN = {
 _MARGIN |= {"luau": _MARGIN["lua"], "mli": _MARGIN["ml"], "yml": _MARGIN["yaml"], "bash": _MARGIN["sh"]}
 _TAG = re.compile(r"<!--[\s\S]*?(?:-->|\Z)|<!\[CDATA\[[\s\S]*?(?:\]\]>|\Z)|<(script|style)\b[^>]*>[\s\S]*?</\1\s*>|<([/!?]?)([\w:.-]+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.I)
 _ALONE = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_JSON = re.compile(r'"(?:\\.|[^"\\\n])*"|[\[\]{},\n]|[^\s"\[\]{},]+')
 MARKUP = {"html", "htm", "xml", "svg", "xsd", "xslt", "xsl", "rng", "svelte", "astro"}
 _REMARK = re.compile(r"^\s*(?://|/\*|\*|#(?!\[|include|define|if|endif)|--|@|#\[|$)")
 
@@ -171,20 +172,23 @@ def _element_starts(text: str) -> list[tuple[int, bool]] | None:
 
 def _pair_starts(text: str) -> list[tuple[int, bool]] | None:
     """Lines on which the members of the outermost object or array of JSON begin."""
-    plain, depth, out, fresh = re.sub(r'"(?:\\.|[^"\\\n])*"', lambda m: "s" * len(m[0]), text), 0, [], False
-    for i, line in enumerate(plain.split("\n")):
-        if depth == 1 and fresh and line.strip() and line.strip()[0] not in "]},":
-            out.append((i, True))
-        for c in line:
+    depth, line, out, fresh = 0, 0, [], False
+    for m in _JSON.finditer(text):
+        c = m[0]
+        if c == "\n":
+            line += 1
+        elif c == ",":
+            fresh |= depth == 1
+        elif c in "]}":
+            depth -= 1
+        else:
+            if depth == 1 and fresh:
+                fresh = False
+                if not out or out[-1][0] != line:
+                    out.append((line, True))
             if c in "[{":
                 depth += 1
-                fresh = depth == 1 or fresh
-            elif c in "]}":
-                depth -= 1
-            elif depth == 1 and c == ",":
-                fresh = True
-            elif depth == 1 and not c.isspace():
-                fresh = False
+                fresh |= depth == 1
     return out if depth == 0 else None
 
 

@@ -94,26 +94,28 @@ def symbols_of(text: str, ext: str) -> list[Symbol]:
 
 
 _GROUP = re.compile(r"^(type|var|const)\s*\(", re.M)
+_BRACKET = re.compile(r"[(){}\[\]]")
 _MEMBER = re.compile(r"^[ \t]+([A-Za-z_]\w*)(?=[ \t,=]|$)", re.M)
 
 
 def grouped(text: str) -> list[Symbol]:
     """Members of the grouped declarations of Go, ``type ( ... )`` and the like, which patterns by line do not see."""
+    if not _GROUP.search(text):
+        return []
     plain, out = _blank(text, _NOISE), []
     for g in _GROUP.finditer(plain):
-        depth, at = 1, g.end()
-        end = at
-        for end in range(at, len(plain)):
-            depth += (plain[end] in "({[") - (plain[end] in ")}]")
+        depth, end = 1, len(plain)
+        for m in _BRACKET.finditer(plain, g.end()):
+            depth += 1 if m[0] in "({[" else -1
             if not depth:
+                end = m.start()
                 break
-        inner, level = plain[at:end], 0
-        for k, line in enumerate(inner.split("\n")):
+        level, at, line_no = 0, g.end(), plain.count("\n", 0, g.end()) + 1
+        for line in plain[at:end].split("\n"):
             if level == 0 and (m := _MEMBER.match(line)):
-                first = plain.count("\n", 0, at) + k + 1
-                offset = at + len("\n".join(inner.split("\n")[:k])) + (1 if k else 0)
-                out.append((m[1], "type" if g[1] == "type" else "variable", first, plain.count("\n", 0, _end(plain, offset)) + 1))
+                out.append((m[1], "type" if g[1] == "type" else "variable", line_no, line_no + plain.count("\n", at, _end(plain, at))))
             level += sum(map(line.count, "({[")) - sum(map(line.count, ")}]"))
+            at, line_no = at + len(line) + 1, line_no + 1
     return out
 
 
