@@ -5,7 +5,7 @@ Sizes are tokens of a public tokenizer. Of a total of T tokens a source gets its
 that are left can. Each document is then taken a whole number of times and, for the fractional rest, once more if it lies in
 the leading part of its source in a seeded order.
 
-The leading part is found in two steps, so no source is ever ordered in one task: token sums of 4096 hash bins a source, then a
+The leading part is found in two steps, so no source is ever ordered in one task: token sums of 1024 hash bins a source, then a
 running sum inside the one bin in which the part ends.
 
 Defined results
@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from quarrylight.session import join_small, map_batches, materialise
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-BINS = 4096
+BINS = 1024
 SEED = 17
 
 
@@ -109,7 +109,7 @@ def mixture(spark: SparkSession, sized: DataFrame, planned: DataFrame, seed: int
     chosen = chosen.select("source", "max_repeats", F.floor(F.col("planned") / F.col("available")).cast("int").alias("_whole"), (F.col("planned") % F.col("available")).alias("_part"))
     order = F.xxhash64(F.lit(seed), "doc_id")
     docs = sized.withColumn("_h", order).withColumn("_bin", F.pmod(F.shiftrightunsigned("_h", 20), F.lit(BINS)).cast("int"))
-    # One row a source and bin: at most 4096 times the number of listed sources, which the plan has seen on the driver.
+    # One row a source and bin: at most 1024 times the number of listed sources, which the plan has seen on the driver.
     bins = join_small(docs.groupBy("source", "_bin").agg(F.sum("tokens").alias("_in_bin")), chosen, ["source"], spread=F.col("_bin"))
     before = F.sum("_in_bin").over(W.partitionBy("source").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
     state = bins.withColumn("_before", F.coalesce(before, F.lit(0))).select(
