@@ -345,9 +345,9 @@ class Origins:
 
 def learn(files: DataFrame, sample: int = SAMPLE) -> Origins:
     """The weights of short rules, from a sample of files. At most ``RULES`` rules, and their numbers in those files, reach the driver."""
-    rows = files.withColumn("_h", F.shiftrightunsigned(F.xxhash64("file_id"), 1))
+    rows = usable(files).withColumn("_h", F.shiftrightunsigned(F.xxhash64("file_id"), 1))
     # Hashes are even over 0..2^63, so about ``sample`` files lie below this.
-    below = min(1.0, sample / max(1, files.count())) * (2**63 - 1)
+    below = min(1.0, sample / max(1, files.count())) * (2**63 - 1)  # a count of rows reads no contents
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbols, names = Symbols(), Names()
@@ -463,7 +463,7 @@ def shared_tokens(stats: DataFrame) -> DataFrame:
 
 def judged(files: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Every file with its statistics and ``reason``, null for what is hand-written."""
-    stats = materialise(grammar_stats(files, learn(usable(files), sample)), "grammars").dropDuplicates(["file_id"])
+    stats = materialise(grammar_stats(files, learn(files, sample)), "grammars").dropDuplicates(["file_id"])
     all_ = stats.join(shared_tokens(stats), "file_id", "left").withColumn("shared", F.coalesce("shared", F.lit(0)) / F.greatest("tokens", F.lit(1)))
     reason = (
         F.when(F.col("told").isNotNull(), F.col("told"))
