@@ -161,10 +161,11 @@ class Engine:
             changes = manifest.diff(now, old).persist()
             held.append(changes)
             counts = manifest.change_counts(changes).first().asDict()
-            if any(counts.values()) or opened.limit(1).count():
+            if any(counts.values()):
                 self._put(root, step="chunks")
                 fresh = build_chunks(manifest.files_to_process(opened, changes), root, self.size, self.overlap, self.mode)
                 self.store.replace_files(name, manifest.removed_paths(changes), fresh.withColumn("embedding", self.embed(F.col("content"), self.dimension)))
+            if any(counts.values()) or opened.limit(1).count():  # files that were only touched change the manifest alone
                 per_file = manifest.chunk_counts(self.store.read(name))
                 self._save("manifest", root, MANIFEST, manifest.with_chunk_counts(now, per_file).select("rel_path", "hash", "chunk_count", "size", "mtime_ns"))
             rows = self.store.read(name)

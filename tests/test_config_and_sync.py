@@ -1,3 +1,4 @@
+import os
 import time
 
 import pytest
@@ -40,3 +41,20 @@ def test_watch_brings_indexed_roots_up_to_date(spark, tmp_path):
     finally:
         q.stop()
     e.clear(root)
+
+
+def test_scratch_is_shared_or_refused_and_released(spark):
+    from types import SimpleNamespace
+
+    from quarrylight import session
+
+    unset = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    at = lambda master: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_root(at("spark://host:7077"))
+    assert session.scratch_root(at("local[4]")).startswith("file:")
+    kept = session.materialise(spark.range(3), "kept")
+    path = session._left[spark.sparkContext.applicationId][-1][1].removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(path)
+    session.release(spark)
+    assert not os.path.exists(path)

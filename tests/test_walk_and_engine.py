@@ -104,6 +104,10 @@ def test_only_changed_files_are_opened_and_search_reads_no_tree(spark, tmp_path,
     name = e.collection(os.path.realpath(src))
     rows = e.store.read(name).collect()
     assert len(rows) == 5 and all(len(r.embedding) == e.dimension and r.n_terms > 0 for r in rows)
+    os.utime(src / "d/f2.py", (3, 3))
+    before = e.store.version(name)
+    assert e.index(str(src))["modified"] == 0 and asked[-1] == ["d/f2.py"] and e.store.version(name) == before
+    assert e.index(str(src))["modified"] == 0 and asked[-1] == []
     hits = e.search(str(src), "other", 3)
     assert hits.collect()[0].rel_path == "d/f1.py"
     plan = e.store.postings(name, ["other"])._jdf.queryExecution().toString()
