@@ -541,3 +541,33 @@ a as (select h.id, s, substr(md5(c.rel_path), 1, 1) in ('0', '1', '2', '3', '4')
 select id, row_number() over (order by aux, s desc, id) as rank from a order by rank limit 20"""
 _LATEST_RUN = "select root, run_id, status from (select *, row_number() over (partition by root order by started_at desc, run_id desc) as r from (select distinct root, run_id, status, started_at from sync_runs)) where r = 1"
 SQL["latest_run"] = _LATEST_RUN
+
+# The same over all pairs of consecutive ended runs, by the later one.
+_H = """ok as (select run_id, root, row_number() over (partition by root order by started_at, run_id) as k
+  from (select distinct run_id, root, started_at from sync_runs where status = 'indexed')),
+prs as (select b.root, b.run_id, a.run_id as before from ok b join ok a on a.root = b.root and a.k = b.k - 1),
+m as (select s.run_id as at, s.root, regexp_replace(s.rel_path, '^(\\./)+', '') as rel_path, max(lower(s.hash)) as hash, max(s.chunk_count) as chunk_count,
+  max(s.size) as size, max(s.mtime_ns) as mtime_ns from manifest_snapshots s join ok o on o.run_id = s.run_id and o.root = s.root group by 1, 2, 3),
+new as (select p.run_id, m.* from prs p join m on m.root = p.root and m.at = p.run_id),
+old as (select p.run_id, m.* from prs p join m on m.root = p.root and m.at = p.before),
+d as (select coalesce(n.root, o.root) as root, coalesce(n.run_id, o.run_id) as run_id, coalesce(n.rel_path, o.rel_path) as rel_path,
+  case when n.root is null then 'Deleted' when n.hash is null then null when o.root is null then 'Added'
+       when n.size = o.size and n.mtime_ns = o.mtime_ns then null when n.hash = o.hash then null else 'Modified' end as change_type
+  from new n full join old o on n.root = o.root and n.run_id = o.run_id and n.rel_path = o.rel_path),
+ch as (select * from d where change_type is not null)"""
+_ON = "{0}.root = {1}.root and {0}.run_id = {1}.run_id and {0}.rel_path = {1}.rel_path"
+_NO, _CO, _CN = _ON.format("n", "o"), _ON.format("ch", "o"), _ON.format("ch", "n")
+_SUMS = f"""e as (select root, run_id, sum(chunk_count) as c from old group by 1, 2), r as (select ch.root, ch.run_id, sum(o.chunk_count) as c from ch join old o on {_CO} where change_type <> 'Added' group by 1, 2),
+a as (select ch.root, ch.run_id, sum(n.chunk_count) as c from ch join new n on {_CN} where change_type <> 'Deleted' group by 1, 2),
+t as (select prs.root, prs.run_id, coalesce(e.c, 0) as e, coalesce(r.c, 0) as r, coalesce(a.c, 0) as a from prs left join e using (root, run_id) left join r using (root, run_id) left join a using (root, run_id))"""
+SQL |= {
+    "manifest_diff_history": f"with {_H} select root, run_id, rel_path, change_type from ch",
+    "manifest_diff_by_hash_history": f"with {_H} select coalesce(n.root, o.root) as root, coalesce(n.run_id, o.run_id) as run_id, coalesce(n.rel_path, o.rel_path) as rel_path, case when n.root is null then 'Deleted' when o.hash is null then 'Added' else 'Modified' end as change_type from new n full join old o on {_NO} where case when n.root is null then o.hash is not null when n.hash is null then false else o.hash is null or n.hash <> o.hash end",
+    "change_counts_history": f"with {_H} select prs.root, prs.run_id, count(*) filter (change_type = 'Added') as added, count(*) filter (change_type = 'Modified') as modified, count(*) filter (change_type = 'Deleted') as deleted from prs left join ch on ch.root = prs.root and ch.run_id = prs.run_id group by 1, 2",
+    "files_to_process_history": f"with {_H} select n.root, n.run_id, n.rel_path, n.hash, n.size from new n join ch on {_CN} where change_type <> 'Deleted'",
+    "removed_chunks_history": f"with {_H}, {_SUMS} select root, run_id, cast(r as bigint) as removed_chunks from t",
+    "progress_manifest_history": f"with {_H} select n.root, n.run_id, n.rel_path, n.hash, n.chunk_count from new n left join ch on {_CN} where ch.root is null",
+    "new_total_history": f"with {_H}, {_SUMS} select root, run_id, cast(case when e - r + a < 0 then a else e - r + a end as bigint) as total from t",
+    "needs_hash_history": f"with {_H} select n.root, n.run_id, n.rel_path from new n left join old o on {_NO} where o.size is null or n.size <> o.size or n.mtime_ns <> o.mtime_ns",
+    "stale_results_history": f"with {_H} select o.root, o.run_id, o.rel_path, n.root is null as stale from old o left join new n on {_NO} and n.size = o.size and n.mtime_ns = o.mtime_ns",
+}
