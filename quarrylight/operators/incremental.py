@@ -1,10 +1,10 @@
 """Processing only new or changed records, with the target as the only state.
 
-Output rows carry the source key and the source version they were made from. A run anti-joins the source against the
+Output rows carry the source key and the source version they were made from. A run anti-joins all that is visible to it against the
 target by key and version, processes what is left, and publishes its rows as a new target version by one commit that no other
 writer of that version can repeat. A run that dies publishes nothing, so the next one finds the same records again; a run after a
-success finds none of them. A backlog of runs is caught up with in one job: each key's rows pass through the runs in order, and
-the versions are committed one after the other, so the work is in proportion to the rows, not to rows times runs.
+success finds none of them. A backlog of runs is caught up with run by run, each against the target that the one before has published,
+so a record that reaches the feed after the run it was meant for comes out at the next run. That reads the source and the target once a run.
 
 Defined results
 * rows with a null hash (unreadable), root, rel_path, ``loaded_at`` or ``seen_at`` are no observation;
@@ -16,12 +16,11 @@ Defined results
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.operators.snapshot_diff import successful_runs
-from quarrylight.session import is_bounded, join_small, scratch_path
+from quarrylight.session import is_bounded, join_small, materialise, scratch_path
 from quarrylight.sources.versioned import VersionedTable
 
 KEYS = ["root", "rel_path"]
@@ -52,38 +51,19 @@ def new_records(source: DataFrame, state: DataFrame) -> DataFrame:
     return s.join(t, same & held, "left_anti")
 
 
-def advanced(slices: DataFrame, state: DataFrame | None) -> DataFrame:
-    """The target rows of all runs ``k``: of each key what is newer than all before it, and whether its hash is another.
-
-    ``slices``: for each run and key at most one row. A key has at most one row a run, so no group is large.
-    """
-    rows = slices
-    if state is not None:
-        held = state.select(*KEYS, "seen_at", "obs_id", "hash", F.lit(None).cast("long").alias("run_id"), F.lit(-1).alias("k"))
-        rows = new_records(slices, state).select(*held.columns).unionByName(held)
-    before = F.max(F.struct("seen_at", "obs_id", "hash")).over(W.partitionBy(*KEYS).orderBy("k").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("_b", before).where("k >= 0").where(F.col("_b").isNull() | (F.struct("seen_at", "obs_id") > F.struct("_b.seen_at", "_b.obs_id")))
-    return rows.withColumn("changed", F.col("_b").isNull() | (F.col("_b.hash") != F.col("hash"))).select(*TARGET.names, "k")
-
-
-def _state(target: VersionedTable) -> DataFrame | None:
-    return newest(target.read(), KEYS) if target.versions() else None
+def advanced(source: DataFrame, state: DataFrame) -> DataFrame:
+    """The target rows of one run: what ``state`` does not hold of ``source``, and whether its hash is another. Both have a row a key."""
+    was = state.select(*KEYS, F.col("hash").alias("_was"))
+    fresh = new_records(source, state).join(was, KEYS, "left")
+    return fresh.withColumn("changed", F.col("_was").isNull() | (F.col("_was") != F.col("hash"))).select(*TARGET.names)
 
 
 def run_once(source: DataFrame, target: VersionedTable, version: int) -> None:
-    """One incremental run: ``source`` is what is visible to it (``KEYS, seen_at, obs_id, hash, run_id``)."""
+    """One incremental run: ``source`` is all that is visible to it (``KEYS, seen_at, obs_id, hash, run_id``)."""
     if version in target.versions():
         return
-    slices = newest(source, KEYS).withColumn("k", F.lit(version))
-    target.publish(advanced(slices, _state(target)).select(*TARGET.names), version)
-
-
-def catch_up(slices: DataFrame, target: VersionedTable, runs: int) -> None:
-    """All runs below ``runs`` that the target has no version of: ``slices`` holds, by ``k``, what was first visible to each."""
-    done = set(target.versions())
-    if todo := [k for k in range(runs) if k not in done]:
-        fresh = slices.where(F.col("k") >= min(todo)) if done else slices
-        target.publish_slices(advanced(fresh, _state(target)), "k", todo)
+    state = newest(target.read().select(*KEYS, "seen_at", "obs_id", "hash"), KEYS)
+    target.publish(advanced(newest(source, KEYS), state), version)
 
 
 def clean_entries(entries: DataFrame) -> DataFrame:
@@ -95,17 +75,16 @@ def clean_entries(entries: DataFrame) -> DataFrame:
 def replay(spark: SparkSession, entries: DataFrame, runs: DataFrame, path: str | None = None) -> DataFrame:
     """``run_id, root, rel_path``: what every successful run after a root's first had to process.
 
-    The k-th successful runs of all roots share a version. The feed is cut once into the rows first visible to each run.
+    The k-th successful runs of all roots share a version, and each version is an incremental run of its own. A run that is
+    reported when its version is there already is passed over: what it would have found comes out at its root's next run.
     """
-    ok = successful_runs(runs).withColumn("started_at", F.col("started_at").cast("timestamp"))
-    per_root = ok.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("k", "started_at", "run_id"))).alias("_runs"))
-    rows = join_small(clean_entries(entries), per_root, ["root"], spread=F.col("rel_path"))
-    first = F.expr("size(filter(_runs, r -> r.started_at < loaded_at))")
-    sliced = rows.withColumn("k", first).where("k < size(_runs)").withColumn("run_id", F.expr("_runs[k].run_id"))
-    slices = newest(sliced.select("k", *KEYS, "seen_at", "obs_id", "hash", "run_id"), ["k", *KEYS])
+    ok = materialise(successful_runs(runs).withColumn("started_at", F.col("started_at").cast("timestamp")), "runs")
+    rows = clean_entries(entries)
     target = VersionedTable(spark, path or scratch_path(spark, "incremental-target"), TARGET)
     last = ok.agg(F.max("k")).first()[0]
-    catch_up(slices, target, 0 if last is None else last + 1)
+    for k in range(0 if last is None else last + 1):
+        now = ok.where(F.col("k") == k).select("root", "started_at", "run_id")
+        run_once(join_small(rows, now, ["root"], spread=F.col("rel_path")).where("loaded_at <= started_at"), target, k)
     first_runs = ok.where("k = 0").select("run_id", "root")
     found = target.read().where("changed")
     kept = found.join(F.broadcast(first_runs), ["run_id", "root"], "left_anti") if is_bounded(first_runs) else found.join(first_runs, ["run_id", "root"], "left_anti")

@@ -105,18 +105,6 @@ class VersionedTable:
             raise
         self.sweep()
 
-    def publish_slices(self, rows: DataFrame, by: str, versions: list[int]) -> None:
-        """Write the rows of many versions, told apart by the column ``by``, in one job and commit them in order.
-
-        A writer that dies in between has published the first of them; none is ever seen in part.
-        """
-        name = uuid.uuid4().hex
-        rows.write.partitionBy(by).parquet(f"{self.path}/data/{name}")
-        there = set(self._names(f"data/{name}"))
-        for v in sorted(versions):
-            self._commit(v, f"{name}/{by}={v}" if f"{by}={v}" in there else None, False)
-        self.sweep()
-
     def compact(self, rows: DataFrame, version: int) -> None:
         """Publish ``rows`` as a version that stands for the whole table, and drop the ones before it."""
         self.publish(rows, version, whole=True)

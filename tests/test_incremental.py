@@ -132,3 +132,29 @@ def test_a_backlog_is_caught_up_with_in_parts(spark, tmp_path, monkeypatch):
         replay(spark, *args, path=path)
     assert VersionedTable(spark, path, TARGET).versions() == [0, 1]
     assert rows(replay(spark, *args, path=path)) == want == rows(replay(spark, *args, path=path))
+
+
+def test_every_run_of_a_backlog_asks_the_target(spark, tmp_path, monkeypatch):
+    entries, runs = feed(4)
+    ask, asked = incremental.new_records, []
+
+    def watch(source, state):
+        asked.append(state.count())
+        return ask(source, state)
+
+    monkeypatch.setattr(incremental, "new_records", watch)
+    path = f"file://{tmp_path}/q"
+    assert rows(replay(spark, spark.createDataFrame(entries, ENTRIES), spark.createDataFrame(runs, RUNS), path=path)) == brute(entries, runs)
+    t = VersionedTable(spark, path, TARGET)
+    assert len(t.versions()) > 2
+    assert asked == [0] + [t.read(v).select("root", "rel_path").distinct().count() for v in t.versions()[:-1]]
+
+
+def test_what_reaches_the_feed_after_its_run_comes_out_at_the_next(spark, tmp_path):
+    at = lambda h: T0 + timedelta(hours=h)
+    entries = [(1, "x", "a", "1", at(0), at(0), "?"), (2, "x", "b", "1", at(3), at(3), "?")]
+    runs = [(i, "x", "indexed", at(2 * i)) for i in (1, 2, 3)]
+    late = (3, "x", "c", "1", at(1), at(1), "?")  # loaded before both runs, but not there when they ran
+    go = lambda e, r: rows(replay(spark, spark.createDataFrame(e, ENTRIES), spark.createDataFrame(r, RUNS), path=f"file://{tmp_path}/f"))
+    assert go(entries, runs[:2]) == [(2, "x", "b")]
+    assert go([*entries, late], runs) == [(2, "x", "b"), (3, "x", "c")] == go([*entries, late], runs)
